@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality_hosts
+from millrace.llm import mixing, quality_hosts
 
 QUERIES = {
+    "op3_mix_hash_histograms": mixing.query,
     "op9_quality_host_rules": quality_hosts.query,
 }
 
 ORACLES = {
+    "op3_mix_hash_histograms": mixing.SQL,
     "op9_quality_host_rules": quality_hosts.SQL,
 }
