@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, quality_hosts
+from millrace.llm import mixing, quality_hosts, warc
 
 QUERIES = {
+    "op1_warc_dictionary": warc.query,
     "op3_mix_hash_histograms": mixing.query,
     "op9_quality_host_rules": quality_hosts.query,
 }
 
 ORACLES = {
+    "op1_warc_dictionary": warc.SQL,
     "op3_mix_hash_histograms": mixing.SQL,
     "op9_quality_host_rules": quality_hosts.SQL,
 }
