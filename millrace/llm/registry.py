@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, quality_hosts, warc
+from millrace.llm import bpe, mixing, quality_hosts, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
     "op3_mix_hash_histograms": mixing.query,
+    "op8_bpe_distinct_words": bpe.query,
     "op9_quality_host_rules": quality_hosts.query,
 }
 
