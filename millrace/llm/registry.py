@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, jpeg, mixing, quality_hosts, warc
+from millrace.llm import bpe, jpeg, mixing, quality_hosts, toxicity, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
     "op3_mix_hash_histograms": mixing.query,
+    "op5_toxicity_lexicon": toxicity.query,
     "op6_jpeg_media": jpeg.query,
     "op8_bpe_distinct_words": bpe.query,
     "op9_quality_host_rules": quality_hosts.query,
