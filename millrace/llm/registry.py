@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, jpeg, mixing, quality_hosts, toxicity, warc
+from millrace.llm import bpe, jpeg, minhash, mixing, quality_hosts, toxicity, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
     "op3_mix_hash_histograms": mixing.query,
     "op5_toxicity_lexicon": toxicity.query,
     "op6_jpeg_media": jpeg.query,
+    "op7_probminhash_near": minhash.query,
     "op8_bpe_distinct_words": bpe.query,
     "op9_quality_host_rules": quality_hosts.query,
 }
