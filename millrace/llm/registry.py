@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, jpeg, minhash, mixing, quality_hosts, toxicity, warc
+from millrace.llm import bpe, jpeg, minhash, mixing, quality_hosts, suffix, toxicity, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
     "op3_mix_hash_histograms": mixing.query,
+    "op4_bwt_repeats": suffix.query,
     "op5_toxicity_lexicon": toxicity.query,
     "op6_jpeg_media": jpeg.query,
     "op7_probminhash_near": minhash.query,
