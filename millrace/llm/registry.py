@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, jpeg, minhash, mixing, quality_hosts, suffix, toxicity, warc
+from millrace.llm import bpe, extendible, jpeg, minhash, mixing, preference, quality_hosts, suffix, toxicity, warc
 
 QUERIES = {
     "op1_warc_dictionary": warc.query,
+    "op2_extendible_hashing": extendible.query,
     "op3_mix_hash_histograms": mixing.query,
     "op4_bwt_repeats": suffix.query,
     "op5_toxicity_lexicon": toxicity.query,
@@ -13,10 +14,13 @@ QUERIES = {
     "op7_probminhash_near": minhash.query,
     "op8_bpe_distinct_words": bpe.query,
     "op9_quality_host_rules": quality_hosts.query,
+    "op10_preference_pairs": preference.query,
 }
 
 ORACLES = {
     "op1_warc_dictionary": warc.SQL,
+    "op2_extendible_hashing": extendible.SQL,
     "op3_mix_hash_histograms": mixing.SQL,
     "op9_quality_host_rules": quality_hosts.SQL,
+    "op10_preference_pairs": preference.SQL,
 }
