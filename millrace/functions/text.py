@@ -129,11 +129,8 @@ PAGE_RULES = (
     (rf"\bPage{SPACE}+\d+\b", "im"), (rf"\bപേജ്{SPACE}+\d+\b", "im"), (rf"\bതാൾ{SPACE}+\d+\b", "im"),
     (r"^\d+$", "im"), (r"\[\d+\]", "im"), (r"\(\d+\)", "im"),
 )
-# With each rule what a text must have for it to apply: the rules scan a line from each of its places.
-URL_RULES = (
-    ("://", rf".*https?://{SOLID}+.*", ""), ("://|www", rf"https?://{SOLID}+|www\.{SOLID}+", ""),
-    (f"(?Ui)email{SPACE}*:", rf".*email{SPACE}*:{SPACE}*{SOLID}+.*", "i"), ("@", rf"{SOLID}+@{SOLID}+", ""),
-)
+# Rules for whole lines are tied to a line's start, from where they match if they match at all.
+URL_RULES = ((rf"^.*https?://{SOLID}+.*", "m"), (rf"https?://{SOLID}+|www\.{SOLID}+", ""), (rf"^.*email{SPACE}*:{SPACE}*{SOLID}+.*", "im"), (rf"{SOLID}+@{SOLID}+", ""))
 JUNK_RULES = (r"[|_]{2,}", r"[|\\]{2,}", r"_{3,}", r"-{3,}", r"\.{4,}", rf"{SPACE}+[\|\\/]{SPACE}+", r"[•●■◆◦]+")
 HEADER_RULES = (rf"^copyright{SPACE}+©", r"^\d{1,2}/\d{1,2}/\d{2,4}\n?$", rf"^chapter{SPACE}+\d+\n?$", rf"^section{SPACE}+\d+\n?$")
 SPACE_RULES = ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"))
@@ -151,8 +148,8 @@ def remove_page_numbers(c: Column) -> Column:
 
 def remove_urls(c: Column) -> Column:
     """Lines with a URL or an address label go as a whole, then what is left of either."""
-    for needed, pattern, flags in URL_RULES:
-        c = F.when(c.rlike(needed), replaced(c, pattern, "", "Ud" + flags)).otherwise(c)
+    for pattern, flags in URL_RULES:
+        c = replaced(c, pattern, "", "Ud" + flags)
     return c
 
 
