@@ -2,31 +2,35 @@
 
 Texts are cut into pre-tokens once, in blocks of documents. A block keeps, for each document, its pre-tokens as
 positions' numbers into the block's own list of distinct words. The distinct words of all blocks are shuffled, each
-is encoded once, its ids are joined back to the blocks that have it, and every document is put together by position.
-Decoding joins the token-byte table to the ids of each distinct word, and goes the same way.
+is encoded once, its ids go back to the blocks that have it, and every document is put together by position. Decoding
+joins the token-byte table to the ids of each distinct word of a block, and goes the same way. Words and positions
+travel packed, a row for many of them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import stage_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 6_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,8 +45,6 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """
     if word in ranks:
         return [ranks[word]]
-    from heapq import heapify, heappop, heappush
-
     n = len(word)
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
 
@@ -74,59 +76,119 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def blocks(df: DataFrame, text: str, keep: list[str], pattern: str, block_tokens: int) -> DataFrame:
-    """``block, row, positions`` for documents and ``block, words`` for each block's words in order of their numbers.
+def pack_ints(values: np.ndarray) -> bytes:
+    """32-bit numbers, compressed: one byte for those under 192, else the number's third byte and, apart, the lower two.
 
-    ``positions`` are compressed 32-bit numbers. A block ends after ``block_tokens`` pre-tokens, with the document.
+    Numbers from 63 << 16 are listed whole as well.
+    """
+    values = np.ascontiguousarray(values, np.uint32)
+    high = values >> 16
+    first = np.where(values < 192, values, 192 + np.minimum(high, 63)).astype(np.uint8)
+    rest = values[values >= 192]
+    frames = [zstandard.ZstdCompressor(level=3).compress(x.tobytes()) for x in (first, (rest >> 8).astype(np.uint8), rest.astype(np.uint8), values[high >= 63])]
+    return struct.pack("<4I", *map(len, frames)) + b"".join(frames)
+
+
+def unpack_ints(packed: bytes) -> np.ndarray:
+    ends = np.cumsum([16, *struct.unpack_from("<4I", packed)]).tolist()
+    raw = [zstandard.ZstdDecompressor().decompress(packed[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    out, middle, low = (np.frombuffer(x, np.uint8).astype(np.uint32) for x in raw[:3])
+    wide = np.flatnonzero(out >= 192)
+    out[wide] = ((out[wide] - 192) << 16) | (middle << 8) | low
+    out[np.flatnonzero(out >= 63 << 16)] = np.frombuffer(raw[3], np.uint32)
+    return out
+
+
+def _pack_words(words: list[str]) -> bytes:
+    raw = [w.encode() for w in words]
+    sizes = pack_ints(np.array([len(w) for w in raw]))
+    return struct.pack("<I", len(sizes)) + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+
+
+def _unpack_words(packed: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", packed)
+    ends = np.cumsum(unpack_ints(packed[4 : 4 + n])).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(packed[4 + n :])
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def blocks(df: DataFrame, text: str, keep: list[str], pattern: str, block_tokens: int, buckets: int) -> DataFrame:
+    """Pre-tokens of all texts, in blocks of documents.
+
+    A block gives a row ``block, rows, data, numbers``: its documents, their pre-tokens by position, as numbers into
+    the block's distinct words (the more frequent, the smaller), and how many each document has. The distinct words
+    give rows ``block, bucket, data, numbers``, one for each bucket of word hashes. A block ends after
+    ``block_tokens`` pre-tokens, with the document.
     """
     kept = df.select(*[F.col(f"`{c}`") for c in keep]).schema
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", kept), T.StructField("positions", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("rows", T.ArrayType(kept)), T.StructField("data", T.BinaryType()), T.StructField("numbers", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pack = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1).compress
-        part, block = TaskContext.get().partitionId(), 0
+        find = regex.compile(pattern).findall
+        part, count = TaskContext.get().partitionId(), 0
         numbers: dict[str, int] = {}
-        tokens = 0
-
-        def words(kind: pa.DataType) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | block]), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))], ["block", "row", "positions", "words"])
+        rows: list[pa.Array] = []
+        texts: list[np.ndarray] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal count, numbers, rows, texts
+            block, sizes = part << 32 | count, [len(t) for t in texts]
+            used = np.concatenate([np.zeros(0, np.uint32), *texts])
+            order = np.argsort(-np.bincount(used, minlength=len(numbers)), kind="stable")
+            renumber = np.empty(len(order), np.uint32)
+            renumber[order] = np.arange(len(order), dtype=np.uint32)
+            row = pa.concat_arrays(rows)
+            held = pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), held, pa.array([pack_ints(renumber[used])], pa.binary()), pa.array([pack_ints(np.array(sizes))], pa.binary())], schema.names)
+            words = list(numbers)
+            by_bucket: dict[int, list[int]] = {}
+            for k in order.tolist():
+                by_bucket.setdefault(zlib.crc32(words[k].encode()) % buckets, []).append(k)
+            if by_bucket:
+                packed = [_pack_words([words[k] for k in ks]) for ks in by_bucket.values()]
+                which = [pack_ints(np.diff(renumber[ks], prepend=np.uint32(0))) for ks in by_bucket.values()]
+                n = len(packed)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(list(by_bucket), pa.int32()), pa.nulls(n, held.type), pa.array(packed, pa.binary()), pa.array(which, pa.binary())], schema.names)
+            count, numbers, rows, texts = count + 1, {}, [], []
 
+        tokens = 0
         for batch in batches:
-            row, texts = batch.column("row"), batch.column("text")
-            out, ids = [], []
-            for x in texts:
-                found = find(x.as_py() or "")
-                at = [numbers.setdefault(w, len(numbers)) for w in found]
-                out.append(pack(np.array(at, np.uint32).tobytes()))
-                ids.append(part << 32 | block)
+            row, start = batch.column("row"), 0
+            for k, x in enumerate(batch.column("text")):
+                at = [numbers.setdefault(w, len(numbers)) for w in find(x.as_py() or "")]
+                texts.append(np.array(at, np.uint32))
                 tokens += len(at)
                 if tokens >= block_tokens:
-                    yield words(row.type)
-                    block, numbers, tokens = block + 1, {}, 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), row, pa.array(out, pa.binary()), pa.nulls(len(out), pa.list_(pa.string()))], ["block", "row", "positions", "words"])
-        if numbers:
-            yield words(row.type)
+                    rows.append(row[start : k + 1])
+                    yield from close()
+                    start, tokens = k + 1, 0
+            if start < len(row):
+                rows.append(row[start:])
+        if rows:
+            yield from close()
 
     picked = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text).alias("text"))
     return picked.mapInArrow(cut, schema)
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``word`` with its ``ids``, each distinct word encoded once."""
+    """``block, numbers, lengths, ids`` for ``block, bucket, data, numbers``: the words of a bucket, from all blocks, meet
+    in one group (dealt by the words' hashes, so of even size), where each distinct word is encoded once."""
     shipped = words.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: a fixed size
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shipped.value
-        for part in parts:
-            yield part.map(lambda w: merge_word(w.encode(), table))
-
-    return words.distinct().withColumn("ids", encode("word"))
-
+    def encode(group: pa.Table) -> pa.Table:
+        table, known, lengths, ids = shipped.value, {}, [], []
+        for packed in group.column("data"):
+            found = []
+            for w in _unpack_words(packed.as_py()):
+                if w not in known:
+                    known[w] = merge_word(w, table)
+                found.append(known[w])
+            lengths.append(pack_ints(np.array([len(f) for f in found])))
+            ids.append(pack_ints(np.fromiter(chain.from_iterable(found), np.uint32)))
+        return pa.Table.from_arrays([group.column("block"), group.column("numbers"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], ["block", "numbers", "lengths", "ids"])
 
-def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """The token-byte table: ``id, bytes``."""
-    return spark.createDataFrame(pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
+    return words.groupBy("bucket").applyInArrow(encode, "block long, numbers binary, lengths binary, ids binary")
 
 
 def encode_documents(df: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, block_tokens: int = BLOCK_TOKENS, digests: bool = False) -> DataFrame:
@@ -135,48 +197,52 @@ def encode_documents(df: DataFrame, text: str = "text", keep: list[str] | None =
     With ``digests``, ``n_tokens, ids_sha256, decoded_sha256`` stand in their place. A null text is empty: no
     ids. Repeated rows are encoded as often as they come. ``vocabulary`` is the path of a rank file.
     """
-    spark = df.sparkSession
     ranks = load_ranks(vocabulary or public_tokenizers.path(VOCABULARY))
     keep = df.columns if keep is None else keep
-    cut = stage_table(blocks(df, text, keep, pattern, block_tokens), "bpe-blocks")
-    words = cut.filter("words IS NOT NULL").select("block", F.posexplode("words").alias("number", "word"))
-    known = stage_table(encode_words(words.select("word"), ranks), "bpe-words")
-    # Decoding: the token-byte table has one row per vocabulary entry, a fixed size.
-    spelled = (
-        known.select("word", F.posexplode("ids").alias("at", "id"))
-        .join(F.broadcast(token_table(spark, ranks)), "id")
-        .groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "id", "bytes"))).alias("parts"))
-        .select("word", F.size("parts").alias("n_ids"), F.array_join(F.col("parts.id").cast("array<string>"), " ").alias("ids_text"), F.expr("aggregate(parts.bytes, cast('' AS binary), (a, b) -> concat(a, b))").alias("bytes"))
-    )
-    tables = words.join(stage_table(spelled, "bpe-spelled"), "word").select(F.col("block").alias("of_block"), "number", "n_ids", "ids_text", "bytes")
-    kept = cut.schema["row"].dataType
+    buckets = 4 * max(8, df.rdd.getNumPartitions())  # follows the input, so a bucket's words don't grow with it
+    cut = stage_table(blocks(df, text, keep, pattern, block_tokens, buckets), "bpe-blocks")
+    words = cut.filter("bucket IS NOT NULL").select("block", "bucket", "data", "numbers")
+    tables = encode_words(words, ranks).select(F.col("block").alias("of_block"), "numbers", "lengths", "ids")
+    kept = cut.schema["rows"].dataType.elementType
     if digests:
         out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     else:
         out = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    # The token-byte table: one entry per id, a fixed size.
+    spelled = df.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
 
     def assemble(docs: pa.Table, table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        by_number = np.argsort(table.column("number").to_numpy())
-        sizes, texts, parts = (np.empty(len(by_number), d) for d in (np.int64, object, object))
-        sizes[:] = table.column("n_ids").to_numpy()[by_number]
-        texts[:] = table.column("ids_text").to_pylist()
-        parts[:] = table.column("bytes").to_pylist()
-        texts, parts = texts[by_number], parts[by_number]
+        token, numbers, sizes, ids = spelled.value, [], [], []
+        for a, b, c in zip(table.column("numbers"), table.column("lengths"), table.column("ids"), strict=True):
+            numbers.append(np.cumsum(unpack_ints(a.as_py()), dtype=np.uint32))
+            sizes.append(unpack_ints(b.as_py()))
+            ids.append(unpack_ints(c.as_py()))
+        numbers, sizes, ids = (np.concatenate([np.zeros(0, np.uint32), *x]) for x in (numbers, sizes, ids))
+        said = [str(i) for i in ids.tolist()]
+        raw = [token[i] for i in ids.tolist()]  # the join with the token-byte table
+        ends = np.cumsum(sizes).tolist()
+        n = len(numbers)
+        counts, texts, parts = np.zeros(n, np.int64), np.empty(n, object), np.empty(n, object)
+        counts[numbers] = sizes
+        for number, a, b in zip(numbers.tolist(), [0, *ends], ends, strict=False):
+            texts[number] = " ".join(said[a:b])
+            parts[number] = b"".join(raw[a:b])
         columns: list[list] = [[] for _ in out]
-        for packed in docs.column("positions"):
-            at = np.frombuffer(unpack(packed.as_py()), np.uint32)
-            ids, decoded = " ".join(texts[at].tolist()), b"".join(parts[at].tolist())
+        at = unpack_ints(docs.column("data")[0].as_py())
+        stops = np.cumsum(unpack_ints(docs.column("numbers")[0].as_py())).tolist()
+        for start, stop in zip([0, *stops], stops, strict=False):
+            own = at[start:stop]
+            listed, decoded = " ".join(texts[own].tolist()), b"".join(parts[own].tolist())
             if digests:
-                made = (int(sizes[at].sum()), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                made = (int(counts[own].sum()), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
             else:
-                made = (np.array(ids.split(), np.int32), decoded.decode())
+                made = (np.array(listed.split(), np.int32), decoded.decode())
             for column, x in zip(columns, made, strict=True):
                 column.append(x)
         kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
-        return pa.Table.from_arrays([docs.column("row"), *map(pa.array, columns, kinds)], ["row", *(f.name for f in out)])
+        return pa.Table.from_arrays([docs.column("rows").combine_chunks().flatten(), *map(pa.array, columns, kinds)], ["row", *(f.name for f in out)])
 
-    docs = cut.filter("words IS NULL").select("block", "row", "positions")
+    docs = cut.filter("bucket IS NULL").select("block", "rows", "data", "numbers")
     joined = docs.groupBy("block").cogroup(tables.groupBy("of_block"))
     return joined.applyInArrow(assemble, T.StructType([T.StructField("row", kept), *out])).select("row", *(f.name for f in out))
 
