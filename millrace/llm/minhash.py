@@ -176,32 +176,93 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.unionByName(leaders).groupBy("leader", "salt").applyInArrow(compare, "u long, v long")
 
 
-def _cross_pairs(open_: DataFrame, signs: DataFrame) -> DataFrame:
-    """Of buckets ``key, uid, class, main, n, outside``: pairs of different classes whose registers agree often enough.
+def _blocks(open_: DataFrame, carried: DataFrame) -> DataFrame:
+    """Buckets ``key, uid, class, main, n, outside`` as pairs of blocks ``key, a, b``, with ``carried`` joined by ``of``.
 
-    Every pair across classes has a member outside the bucket's main class. So the members, in blocks, meet the
-    outside ones, in blocks: a group never has more than two blocks.
+    Every pair across classes has a member outside the bucket's main class. So the members, in blocks (side 0), meet
+    the outside ones, in blocks (side 1): a group never has more than two blocks.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
     own = [F.pmod(F.xxhash64("uid"), k).cast("int") for k in blocks]
     every = [F.explode(F.sequence(F.lit(0), k - 1)) for k in blocks]
-    rows = open_.join(signs.select(F.col("uid").alias("of"), "registers"), F.col("uid") == F.col("of"))
-    left = rows.select("key", own[0].alias("a"), every[1].alias("b"), F.lit(0).alias("side"), "uid", "class", "registers")
-    right = rows.filter(F.col("class") != F.col("main")).select("key", every[0].alias("a"), own[1].alias("b"), F.lit(1).alias("side"), "uid", "class", "registers")
+    rows = open_.join(carried, F.col("uid") == F.col("of"))
+    more = [c for c in carried.columns if c != "of"]
+    left = rows.select("key", own[0].alias("a"), every[1].alias("b"), F.lit(0).alias("side"), "uid", "class", *more)
+    right = rows.filter(F.col("class") != F.col("main")).select("key", every[0].alias("a"), own[1].alias("b"), F.lit(1).alias("side"), "uid", "class", *more)
+    return left.unionByName(right)
 
-    def cross(group: pa.Table) -> pa.Table:
+
+def _cross_links(open_: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact links ``u, v`` across classes within buckets; of one member to one class a single link.
+
+    Registers tell first which members have a partner that may be near; only the texts of those meet. Pairs are
+    formed inside a group of two blocks and never as rows.
+    """
+
+    def screen(group: pa.Table) -> pa.Table:
         side, uid, own = (group.column(c).to_numpy() for c in ("side", "uid", "class"))
         registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(uid), SIZE)
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        left = np.flatnonzero(side == 0)
+        left, near = np.flatnonzero(side == 0), np.zeros(len(uid), bool)
         for k in np.flatnonzero(side == 1):
-            near = left[((registers[left] == registers[k]).mean(axis=1) >= ESTIMATE) & (own[left] != own[k])]
-            u.append(np.maximum(uid[near], uid[k]))
-            v.append(np.minimum(uid[near], uid[k]))
-        pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
-        return pa.table({"u": pairs[0], "leader": pairs[1]})
+            found = left[(own[left] != own[k]) & ((registers[left] == registers[k]).mean(axis=1) >= ESTIMATE)]
+            near[found] = True
+            near[k] |= len(found) > 0
+        return pa.table({"near": np.unique(uid[near])})
 
-    return left.unionByName(right).groupBy("key", "a", "b").applyInArrow(cross, "u long, leader long").distinct()
+    held = _blocks(open_, signs.select(F.col("uid").alias("of"), "registers"))
+    near = stage_table(held.groupBy("key", "a", "b").applyInArrow(screen, "near long").distinct(), "near-screened")
+
+    def link(group: pa.Table) -> pa.Table:
+        side, uid, own = (group.column(c).to_numpy() for c in ("side", "uid", "class"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        u, v = [], []
+        if len(left) and len(right):
+            sets = [shingles(t or "") for t in group.column("text").to_pylist()]
+            for k, found in zip(right, near_rows([sets[i] for i in left], [sets[i] for i in right], own[left][:, None] != own[right]), strict=True):
+                which = left[found]
+                which = which[np.unique(own[which], return_index=True)[1]]
+                u += np.maximum(uid[which], uid[k]).tolist()
+                v += np.minimum(uid[which], uid[k]).tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    some = open_.join(near, F.col("uid") == F.col("near"), "left_semi")
+    met = _blocks(some, texts.select(F.col("uid").alias("of"), "text"))
+    return met.groupBy("key", "a", "b").applyInArrow(link, "u long, v long").distinct()
+
+
+def near_rows(left: list[tuple], right: list[tuple], wanted: np.ndarray) -> Iterator[np.ndarray]:
+    """For each of ``right`` the places of those ``left`` (of ``wanted``) that are similar enough, exactly.
+
+    A probability Jaccard similarity is at most the share of either text's weight that lies on common shingles;
+    products of matrices give these shares for all pairs at once. Where all counts are 1 they give the similarity.
+    """
+    every, place, count = np.unique(np.concatenate([e for e, _ in [*left, *right]]), return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+    width = max(1, int((count > 1).sum()))
+    sizes = [len(e) for e, _ in [*left, *right]]
+    ends = np.cumsum(sizes)
+    total = np.array([w.sum() for _, w in [*left, *right]])
+    single = np.array([bool(len(w)) and w.max() == 1 for _, w in [*left, *right]])
+    n = len(left)
+    share = [np.zeros((n, len(right))), np.zeros((n, len(right)))]
+    for at in range(0, width, 1 << 14):  # columns at a time bound the memory
+        dense = np.zeros((2, len(sizes), min(1 << 14, width - at)), np.float32)
+        for i, (e, size) in enumerate(zip(ends, sizes, strict=True)):
+            own = column[e - size : e] - at
+            use = (own >= 0) & (own < dense.shape[2])
+            dense[0, i, own[use]] = 1
+            dense[1, i, own[use]] = (left[i] if i < n else right[i - n])[1][use]
+        share[0] += dense[1, :n] @ dense[0, n:].T
+        share[1] += dense[0, :n] @ dense[1, n:].T
+    may = wanted & (share[0] >= SIMILARITY * total[:n, None] - 1e-6) & (share[1] >= SIMILARITY * total[n:] - 1e-6)
+    for k in range(len(right)):
+        found = np.flatnonzero(may[:, k])
+        plain = single[found] & single[n + k]
+        common = share[0][found, k]
+        good = plain & (common / np.maximum(total[found] + total[n + k] - common, 1) >= SIMILARITY)
+        for i in np.flatnonzero(~plain):
+            good[i] = similarity(left[found[i]], right[k]) >= SIMILARITY
+        yield found[good]
 
 
 def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -218,8 +279,8 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", keep: l
 
     Candidates agree in one of 20 bands of 4 registers, which a pair of similarity 0.8 misses with probability
     3e-5. In each bucket all members are held against its leader. Of a bucket that still has several classes, all
-    pairs across classes are compared, first by their registers and then exactly, in blocks; one with many members
-    outside its main class is first dealt out again by pairs and triples of bands, in which unlike texts rarely stay
+    pairs across classes are compared, by their registers and then exactly, in blocks; one with many members outside
+    its main class is first dealt out again by pairs and triples of bands, in which unlike texts rarely stay
     together (a pair of similarity 0.8 shares two bands but for 4e-4). Nothing is capped; no bucket meets in one task.
     """
     keep = df.columns if keep is None else keep
@@ -258,7 +319,7 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", keep: l
         mixed = sizes.filter(F.col("most.n") < F.col("n")).select(F.col("key").alias("k"), "n", (F.col("n") - F.col("most.n")).alias("outside"), F.col("most.class").alias("main"))
         open_ = stage_table(held.join(stage_table(mixed, "near-mixed"), F.col("key") == F.col("k")).drop("k"), "near-open")
         wide = (F.col("outside") > MANY) & F.lit(level < LEVELS)
-        edges, found = _linked(edges, found, stage_table(_cross_pairs(open_.filter(~wide), signs), "near-cross"), texts)
+        edges, found = _joined(edges, found, stage_table(_cross_links(open_.filter(~wide), signs, texts), "near-cross"))
         large = open_.filter(wide)
         if large.isEmpty():
             break
@@ -278,7 +339,10 @@ def _linked(edges: DataFrame, found: DataFrame, pairs: DataFrame, texts: DataFra
     across = stage_table(across.filter(F.coalesce("ca", "u") != F.coalesce("cb", "leader")).select("u", "leader"), "near-across")
     if across.isEmpty():
         return edges, found
-    new = stage_table(verify(across, texts), "near-edges")
+    return _joined(edges, found, stage_table(verify(across, texts), "near-edges"))
+
+
+def _joined(edges: DataFrame, found: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     if new.isEmpty():
         return edges, found
     edges = edges.unionByName(new)
