@@ -23,11 +23,12 @@ from millrace.llm.minhash import mix
 
 LENGTH = 400
 GRAM = 32
-BATCH_BYTES = 3 << 20
-CROWD = 256  # different stretches of one minimiser in a batch; more are dealt to several batches
+BATCH_BYTES = 1 << 20
+CROWD = 512  # different stretches of one minimiser in a batch; more are dealt to several batches
 _U = np.uint64
 _SLICE = 1 << 23  # windows taken at a time; positions have 24 bits
 
+_WINDOW = np.dtype([("hash", np.uint64), ("mini", np.int64), ("content", np.int64), ("place", np.int16)])
 _SEED = mix(np.arange(7, 263, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _A, _B = _U(0x9E6C63D0876A9A47), _U(0xC2B2AE3D27D4EB4F)
 
@@ -83,22 +84,32 @@ def stretches(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def sort_suffixes(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` (over 8) symbols, by prefix doubling."""
+    """Suffixes in order of their first ``depth`` (over 8) symbols, by prefix multiplication.
+
+    The ranks of pieces of a known length are put together three to a key where they fit into 21 bits, else two.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (n,), (1,)).astype(np.uint64)
     known = 8
     while True:
         order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(np.uint64)
         if known >= depth:
             return order
-        step = min(known, depth - known)  # the last step overlaps
-        key = (rank + _U(1)) << _U(32)
-        key[:-step] |= rank[step:] + _U(1)
-        known += step
+        ordered = key[order]
+        new = np.empty(n, np.uint32)
+        new[0] = 1
+        new[1:] = ordered[1:] != ordered[:-1]
+        np.cumsum(new, out=new)
+        rank = np.empty(n, np.uint64)
+        rank[order] = new
+        parts, bits = (3, 21) if new[-1] < 1 << 21 else (2, 32)
+        reach = min(depth, parts * known)
+        key = rank << _U(bits * (parts - 1))
+        for k in range(1, parts):  # the last pieces overlap where less is wanted
+            at = min(k * known, reach - known)
+            key[:-at] |= rank[at:] << _U(bits * (parts - 1 - k))
+        known = reach
 
 
 def bounded_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -216,40 +227,49 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
         at = [key.index(k) for k in once] if len(once) < len(key) else list(range(len(key)))
         raw = [group.column("piece")[i].as_py() for i in at]
         several, split = (group.column(c).to_pylist() for c in ("several", "split"))
-        out, open_ = [], []
-        for i, piece, marks in zip(at, raw, repeated_windows(raw), strict=True):
-            left = []
+        out, windows = [], []
+        for k, (i, piece, marks) in enumerate(zip(at, raw, repeated_windows(raw), strict=True)):
             if several[i]:
                 marks = np.ones(len(marks), bool)
-            elif split[i] and not marks.all():
-                whole = _window_hashes(_grams(np.frombuffer(piece, np.uint8)))
-                left = [(int(w), int(h)) for w, h in zip(np.flatnonzero(~marks), whole[~marks].view(np.int64), strict=True)]
-            elif split[i]:
-                left = []
             out.append(np.packbits(marks).tobytes())
-            open_.append(left)
-        # A repeated window's equal may lie in another batch of a split minimiser, for which it stays open there.
-        told = pa.array([[{"at": w, "hash": h} for w, h in x] for x in open_], pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64())])))
-        done = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(raw[j]) - LENGTH + 1).astype(bool) for j, b in enumerate(out)]
-        known = []
-        for i, piece, marks in zip(at, raw, done, strict=True):
-            known.append(np.unique(_window_hashes(_grams(np.frombuffer(piece, np.uint8)))[marks].view(np.int64)) if split[i] and marks.any() else np.zeros(0, np.int64))
-        seen: set[int] = set()
-        fresh = []
-        for hashes in known:
-            new = [h for h in hashes.tolist() if h not in seen]
-            seen.update(new)
-            fresh.append(new)
-        return pa.table({"mini": pa.array([k[0] for k in once], pa.int64()), "content": pa.array([k[1] for k in once], pa.int64()), "bits": pa.array(out, pa.binary()), "open": told, "known": pa.array(fresh, pa.list_(pa.int64()))})
-
-    answer = "mini long, content long, bits binary, open array<struct<at:int,hash:bigint>>, known array<bigint>"
+            if split[i]:  # an equal of a window may lie in another batch
+                whole = _window_hashes(_grams(np.frombuffer(piece, np.uint8)))
+                windows.append((whole, np.full(len(whole), k), np.arange(len(whole)), marks))
+        mini, content = (np.array([k[j] for k in once], np.int64) for j in (0, 1))
+        rows = [pa.table({"mini": mini, "content": content, "bits": pa.array(out, pa.binary()), "bucket": pa.nulls(len(out), pa.int64()), "windows": pa.nulls(len(out), pa.binary())})]
+        if windows:
+            hashes, owner, place, known = (np.concatenate(x) for x in zip(*windows, strict=True))
+            # Of windows known to be repeated, only that each occurs; a place of -1 says so.
+            first = np.zeros(len(known), bool)
+            first[np.flatnonzero(known)[np.unique(hashes[known], return_index=True)[1]]] = True
+            place[known] = -1
+            use = ~known | first
+            table = np.rec.fromarrays([hashes[use], mini[owner[use]], content[owner[use]], place[use].astype(np.int16)], dtype=_WINDOW)
+            bucket = (table["hash"] % _U(batches)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            table, bucket = table[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            packed = [table[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(table)], strict=True)]
+            n = len(packed)
+            rows.append(pa.table({"mini": pa.nulls(n, pa.int64()), "content": pa.nulls(n, pa.int64()), "bits": pa.nulls(n, pa.binary()), "bucket": bucket[cuts], "windows": pa.array(packed, pa.binary())}))
+        return pa.concat_tables(rows)
+
+    def match(group: pa.Table) -> pa.Table:
+        """Of the windows of one bucket of hashes: those open in a batch that occur in another too."""
+        table = np.concatenate([np.frombuffer(x.as_py(), _WINDOW) for x in group.column("windows")])
+        _, which, count = np.unique(table["hash"], return_inverse=True, return_counts=True)
+        late = table[(count[which] > 1) & (table["place"] >= 0)]
+        late = late[np.lexsort((late["content"], late["mini"]))]
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(late["mini"]) != 0) | (np.diff(late["content"]) != 0)])) if len(late) else np.zeros(0, np.int64)
+        places = pa.ListArray.from_arrays(pa.array([*cuts, len(late)], pa.int32()), pa.array(late["place"].astype(np.int32)))
+        return pa.table({"lm": late["mini"][cuts], "lc": late["content"][cuts], "more": places})
+
+    answer = "mini long, content long, bits binary, bucket long, windows binary"
     answers = stage_table(pieces.groupBy("batch").applyInArrow(expand, answer), "rep-answers")
     # Of minimisers dealt to several batches: windows left open in one are looked up in the others by their hash.
-    still = answers.select("mini", "content", F.explode("open").alias("w")).select("mini", "content", "w.at", "w.hash")
-    seen = still.select("hash", F.lit(1).alias("c")).unionByName(answers.select(F.explode("known").alias("hash")).withColumn("c", F.lit(1)))
-    twice = seen.groupBy("hash").agg(F.sum("c").alias("c")).filter("c > 1").select(respread(F.col("hash")).alias("h"))
-    late = still.join(twice, F.col("hash") == F.col("h")).groupBy("mini", "content").agg(F.collect_list("at").alias("more"))
-    late = stage_table(late.select(F.col("mini").alias("lm"), F.col("content").alias("lc"), "more"), "rep-late")
+    late = answers.filter("bucket IS NOT NULL").select("bucket", "windows").groupBy("bucket").applyInArrow(match, "lm long, lc long, more array<int>")
+    late = stage_table(late.groupBy("lm", "lc").agg(F.flatten(F.collect_list("more")).alias("more")), "rep-late")
+    answers = answers.filter("bucket IS NULL").select("mini", "content", "bits")
     alone = different.join(crowd.select("m"), F.col("mini") == F.col("m"), "left_anti").filter("several").select("mini", "content", F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<int>").alias("more"))
     told = answers.join(late, (F.col("mini") == F.col("lm")) & (F.col("content") == F.col("lc")), "left").select("mini", "content", "bits", "more")
     told = stage_table(told.unionByName(alone).select(F.col("mini").alias("tm"), F.col("content").alias("tc"), "bits", "more"), "rep-told")
