@@ -2,23 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, minhash, mixing, quality_hosts, suffix
-from millrace.llm.common import stage_table
+from millrace.llm.common import recorded, remove_path, stage_table
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_made: dict[tuple[str, int], list[str]] = {}
+
+
+def stage(place: int) -> Callable[[Stage], Stage]:
+    """A stage that first removes the intermediate tables of the one before it, whose result, by then, is written."""
+
+    def wrap(f: Stage) -> Stage:
+        @wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            app = spark.sparkContext.applicationId
+            files = docs.inputFiles()
+            own = [path for made in _made.values() for path in made]
+            # Where stages are chained without writing, docs still read tables of theirs; then, and where nothing
+            # tells what docs read, all stay.
+            if files and not any(path.rpartition("/")[2] in f for f in files for path in own):
+                for path in _made.pop((app, place - 1), []):
+                    remove_path(spark, path)
+            with recorded() as paths:
+                out = f(spark, docs, sf_dir)
+            _made.setdefault((app, place), []).extend(paths)
+            return out
+
+        return run_stage
+
+    return wrap
 
 
+@stage(0)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules of their own text and of their host."""
     return quality_hosts.keep_good(docs)
 
 
+@stage(1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least id."""
     return minhash.keep_one(docs)
 
 
+@stage(2)
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere too, ``n_chars`` counted anew. Emptied ones stay."""
     cut = suffix.remove_repeats(docs)
@@ -26,11 +60,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+@stage(3)
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix by source takes them."""
     return mixing.mixed_rows(docs)
 
 
+@stage(4)
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with a mark that they decode to its text."""
     coded = bpe.encode_documents(docs)
@@ -47,6 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = stage_table(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
