@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_RECORDS: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex[:12]}"
+    for record in _RECORDS:
+        record.append(path)
     atexit.register(remove_path, spark, path)
     return path
 
@@ -43,6 +48,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that are made inside, for one who knows when what reads them is done with."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

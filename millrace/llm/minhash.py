@@ -26,7 +26,7 @@ BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
 CHUNK = 256  # members that meet a copy of their leader in one group
 BLOCK = 256  # members of a bucket in a block
-MANY = 512  # members outside a bucket's main class for which the bucket is dealt out again by further bands
+MANY = 4096  # members outside a bucket's main class for which the bucket is dealt out again by further bands
 ESTIMATE = 0.55  # least share of equal registers for that: over five standard errors under 0.8
 LEVELS = 3  # bands that keys may combine
 
@@ -360,7 +360,7 @@ def _finer(buckets: DataFrame, signs: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each class: that with the class's id as key; of such rows the first written."""
-    found = stage_table(near_classes(df, text, key), "near-found")
+    found = near_classes(df, text, key)
     same = F.col(f"row.`{key}`").eqNullSafe(F.col("class_id"))
     first = stage_table(found.filter(same).groupBy("class").agg(F.min("uid").alias("one")).select("one"), "near-first")
     return found.join(first, F.col("uid") == F.col("one"), "left_semi").select("row.*").select(*[F.col(f"`{c}`") for c in df.columns])
