@@ -26,9 +26,9 @@ BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
 CHUNK = 256  # members that meet a copy of their leader in one group
 BLOCK = 256  # members of a bucket in a block
-MANY = 4096  # members outside a bucket's main class for which the bucket is dealt out again by further bands
-ESTIMATE = 0.55  # least share of equal registers for that: over five standard errors under 0.8
-LEVELS = 3  # bands that keys may combine
+MANY = 4096  # members outside a bucket's main class from which registers meet in larger blocks
+WIDE = 2048  # members of such a bucket in a block of registers
+ESTIMATE = 0.55  # least share of equal registers for exact comparing: over five standard errors under 0.8
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -176,13 +176,15 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.unionByName(leaders).groupBy("leader", "salt").applyInArrow(compare, "u long, v long")
 
 
-def _blocks(open_: DataFrame, carried: DataFrame) -> DataFrame:
+def _blocks(open_: DataFrame, carried: DataFrame, wide: int = BLOCK) -> DataFrame:
     """Buckets ``key, uid, class, main, n, outside`` as pairs of blocks ``key, a, b``, with ``carried`` joined by ``of``.
 
     Every pair across classes has a member outside the bucket's main class. So the members, in blocks (side 0), meet
-    the outside ones, in blocks (side 1): a group never has more than two blocks.
+    the outside ones, in blocks (side 1): a group never has more than two blocks. A block is of ``BLOCK`` members, or
+    of ``wide`` in buckets with over ``MANY`` outside ones, where a member is sent to fewer groups that way.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("outside") / BLOCK).cast("int")
+    size = F.when(F.col("outside") > MANY, wide).otherwise(BLOCK)
+    blocks = F.ceil(F.col("n") / size).cast("int"), F.ceil(F.col("outside") / size).cast("int")
     own = [F.pmod(F.xxhash64("uid"), k).cast("int") for k in blocks]
     every = [F.explode(F.sequence(F.lit(0), k - 1)) for k in blocks]
     rows = open_.join(carried, F.col("uid") == F.col("of"))
@@ -209,7 +211,7 @@ def _cross_links(open_: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFr
             near[k] |= len(found) > 0
         return pa.table({"near": np.unique(uid[near])})
 
-    held = _blocks(open_, signs.select(F.col("uid").alias("of"), "registers"))
+    held = _blocks(open_, signs.select(F.col("uid").alias("of"), "registers"), WIDE)
     near = stage_table(held.groupBy("key", "a", "b").applyInArrow(screen, "near long").distinct(), "near-screened")
 
     def link(group: pa.Table) -> pa.Table:
@@ -279,9 +281,8 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", keep: l
 
     Candidates agree in one of 20 bands of 4 registers, which a pair of similarity 0.8 misses with probability
     3e-5. In each bucket all members are held against its leader. Of a bucket that still has several classes, all
-    pairs across classes are compared, by their registers and then exactly, in blocks; one with many members outside
-    its main class is first dealt out again by pairs and triples of bands, in which unlike texts rarely stay
-    together (a pair of similarity 0.8 shares two bands but for 4e-4). Nothing is capped; no bucket meets in one task.
+    pairs across classes are compared, by their registers and then exactly, in blocks, however many they are.
+    Nothing is capped; no bucket meets in one task.
     """
     keep = df.columns if keep is None else keep
     carried = list(dict.fromkeys([*keep, key]))
@@ -291,10 +292,10 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", keep: l
     nodes = stage_table(rows.groupBy("text_key").agg(F.min("uid").alias("uid"), F.min(own).alias("least_key")), "near-nodes")
     single = rows.filter("bands IS NOT NULL").join(nodes.select("uid"), "uid", "left_semi")
     signs = stage_table(single.select("uid", "bands", "registers"), "near-signs")
-    members = signs.select("uid", F.posexplode("bands").alias("last", "key"))
+    members = signs.select("uid", F.explode("bands").alias("key"))
     led = members.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("leader")).filter("n > 1")
     shared = stage_table(
-        members.join(led.select(respread(F.col("key")).alias("k"), "leader"), F.col("key") == F.col("k")).select("key", "uid", "last", "leader"), "near-shared"
+        members.join(led.select(respread(F.col("key")).alias("k"), "leader"), F.col("key") == F.col("k")).select("key", "uid", "leader"), "near-shared"
     )
     pairs = stage_table(shared.filter("uid <> leader").select(F.col("uid").alias("u"), "leader").distinct(), "near-pairs")
     needed = shared.select("uid").distinct().join(nodes.select("uid", "text_key"), "uid")
@@ -312,18 +313,11 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", keep: l
     edges, found = _linked(edges, found, rest, texts)
 
     # Buckets whose members are of several classes.
-    buckets = shared.select("key", "uid", "last")
-    for level in range(1, LEVELS + 1):
-        held = _with_class(buckets, found)
-        sizes = held.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"))
-        mixed = sizes.filter(F.col("most.n") < F.col("n")).select(F.col("key").alias("k"), "n", (F.col("n") - F.col("most.n")).alias("outside"), F.col("most.class").alias("main"))
-        open_ = stage_table(held.join(stage_table(mixed, "near-mixed"), F.col("key") == F.col("k")).drop("k"), "near-open")
-        wide = (F.col("outside") > MANY) & F.lit(level < LEVELS)
-        edges, found = _joined(edges, found, stage_table(_cross_links(open_.filter(~wide), signs, texts), "near-cross"))
-        large = open_.filter(wide)
-        if large.isEmpty():
-            break
-        buckets = _finer(large, signs)
+    held = _with_class(shared.select("key", "uid"), found)
+    sizes = held.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"))
+    mixed = sizes.filter(F.col("most.n") < F.col("n")).select(F.col("key").alias("k"), "n", (F.col("n") - F.col("most.n")).alias("outside"), F.col("most.class").alias("main"))
+    open_ = stage_table(held.join(stage_table(mixed, "near-mixed"), F.col("key") == F.col("k")).drop("k"), "near-open")
+    edges, found = _joined(edges, found, stage_table(_cross_links(open_, signs, texts), "near-cross"))
     named = _with_class(nodes, found)
     least = stage_table(named.groupBy("class").agg(F.min("least_key").alias("class_id")).select(F.col("class").alias("c"), "class_id"), "near-least")
     named = stage_table(named.join(least, F.col("class") == F.col("c")).select(F.col("text_key").alias("t"), "class", "class_id"), "near-named")
@@ -349,15 +343,6 @@ def _joined(edges: DataFrame, found: DataFrame, new: DataFrame) -> tuple[DataFra
     return edges, components(edges)
 
 
-def _finer(buckets: DataFrame, signs: DataFrame) -> DataFrame:
-    """``key, uid, last`` with one of the later bands added to each key, where several texts have the new key."""
-    rows = buckets.select("key", "uid", "last").join(signs.select(F.col("uid").alias("of"), "bands"), F.col("uid") == F.col("of"))
-    added = rows.select("key", "uid", F.col("last").alias("was"), F.posexplode("bands").alias("last", "band")).filter("last > was")
-    out = stage_table(added.select(F.xxhash64("key", "band").alias("key"), "uid", "last"), "near-finer")
-    twice = out.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(respread(F.col("key")).alias("k"))
-    return stage_table(out.join(twice, F.col("key") == F.col("k")).select("key", "uid", "last"), "near-finer")
-
-
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each class: that with the class's id as key; of such rows the first written."""
     found = near_classes(df, text, key)

@@ -131,6 +131,26 @@ def test_near_chain_and_large_groups(spark, monkeypatch):
     assert got == {i: root(i) for i in sets}
 
 
+def test_near_pairs_of_one_band_in_a_wide_bucket(spark, monkeypatch):
+    """Unlike texts in one bucket, with planted near pairs that share no other band, against all pairs."""
+    rows = [(k, " ".join(WORDS[:60] + [f"x{k}y{j}" for j in range(60)])) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + f" end{k} of it") for k in range(0, 60, 5)]
+    sign = minhash.signed
+
+    def one_band(*args):
+        own = [F.xxhash64("text_key", F.lit(i)) for i in range(1, minhash.BANDS)]
+        return sign(*args).withColumn("bands", F.array(F.lit(7).cast("long"), *own))
+
+    monkeypatch.setattr(minhash, "signed", one_band)
+    monkeypatch.setattr(minhash, "MANY", 3)
+    monkeypatch.setattr(minhash, "WIDE", 16, raising=False)
+    got = {r.row.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: minhash.shingles(t) for i, t in rows}
+    near = {(i, j) for i in sets for j in sets if i < j and minhash.similarity(sets[i], sets[j]) >= 0.8}
+    assert near == {(k, 100 + k) for k in range(0, 60, 5)}
+    assert got == {i: i - 100 if i >= 100 else i for i in sets}
+
+
 @pytest.mark.parametrize("crowd", [512, 2])
 def test_repeats(docs, none, monkeypatch, crowd):
     monkeypatch.setattr(suffix, "CROWD", crowd)
