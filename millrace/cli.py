@@ -67,7 +67,7 @@ def fingerprint(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.save:
         own.write.mode("overwrite").json(args.save)
     if args.compare:
-        other = bm25.compare_fingerprints(own, spark.read.schema(own.schema).json(args.compare))
+        other = bm25.compare_fingerprints(own, spark.read.json(args.compare))
         print("the same" if not other else "different: " + ", ".join(other))
         return int(bool(other))
     return 0

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as tx
 
@@ -140,13 +145,49 @@ def load_index(spark: SparkSession, path: str, version: str, collection: str = "
         return None
 
 
+def _by_key(c: Column, kind: T.DataType) -> Column:
+    """A value with the fields of structs and the entries of maps ordered by key, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*[_by_key(c[f.name], f.dataType).alias(f.name) for f in fields])) if fields else c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _by_key(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(_by_key(e["key"], kind.keyType).alias("key"), _by_key(e["value"], kind.valueType).alias("value")))
+        return F.sort_array(entries)
+    return c
+
+
+def _vector_digest(c: Column) -> Column:
+    """SHA-256 of a vector's bytes as 32-bit floats; Spark has no function for these bytes, so this runs in Python."""
+
+    @F.pandas_udf("string")
+    def digest(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in vectors:
+            yield part.map(lambda v: hashlib.sha256(np.asarray(v, "<f4").tobytes()).hexdigest(), na_action="ignore")
+
+    return digest(c)
+
+
 def fingerprint(chunks: DataFrame) -> DataFrame:
-    """One row: count and SHA-256 over ids in order, and over the sorted digests of texts, metadata and vectors."""
-    pairs = chunks.select("chunk_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("t"))
-    return pairs.agg(
+    """One row: count and SHA-256 over ids in order, and over the digests of texts, metadata and vectors in order of ids.
+
+    Metadata are all columns besides ``chunk_id``, ``text`` and ``embedding``, as JSON with sorted keys. Their digest
+    and that of vectors are given for tables that have such columns; with either goes one of all together.
+    """
+    others = sorted((f for f in chunks.schema.fields if f.name not in ("chunk_id", "text", "embedding")), key=lambda f: f.name)
+    digests = {"texts": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)}
+    if others:
+        digests["metadata"] = F.sha2(F.to_json(F.struct(*[_by_key(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in others]), {"ignoreNullFields": "false"}), 256)
+    if "embedding" in chunks.columns:
+        digests["vectors"] = F.coalesce(_vector_digest(F.col("embedding")), F.lit(""))
+    rows = chunks.select("chunk_id", *[d.alias(name) for name, d in digests.items()])
+    if len(digests) > 1:
+        rows = rows.withColumn("all", F.sha2(F.concat_ws("|", F.col("chunk_id").cast("string"), *digests), 256))
+    return rows.agg(
         F.count("*").alias("n"),
         F.sha2(F.array_join(F.sort_array(F.collect_list("chunk_id")), "\n"), 256).alias("ids_sha256"),
-        F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "t"))), lambda x: x["t"]), "\n"), 256).alias("texts_sha256"),
+        *[F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", F.col(name).alias("digest")))), lambda x: x["digest"]), "\n"), 256).alias(f"{name}_sha256") for name in rows.columns[1:]],
     )
 
 

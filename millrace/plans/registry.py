@@ -172,7 +172,7 @@ def _collection_stats(b: Base) -> DataFrame:
 
 @query("fingerprint_ids", "SELECT count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS ids_sha256, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id::VARCHAR)) AS texts_sha256 FROM documents")
 def _fingerprint(b: Base) -> DataFrame:
-    return bm25.fingerprint(b.chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")))
+    return bm25.fingerprint(b.chunks.select(F.col("chunk_id").cast("string"), "text"))
 
 
 # ---------------------------------------------------------------- index

@@ -22,3 +22,11 @@ def test_index_fingerprint_and_search(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setenv("RETRIEVAL_MODE", "bm25")
     assert cli.main(["search", chunks, index, f"file://{tmp_path}/q.jsonl", f"file://{tmp_path}/out"]) == 0
     assert [r.chunk_id for r in spark.read.json(f"file://{tmp_path}/out").collect()] == ["b"]
+
+
+def test_fingerprint_without_the_vectors_of_the_saved_one(spark, tmp_path):
+    whole, less = f"file://{tmp_path}/whole", f"file://{tmp_path}/less"
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(whole)
+    spark.createDataFrame(ROWS, SCHEMA).drop("source", "embedding").write.parquet(less)
+    assert cli.main(["fingerprint", whole, "--save", f"file://{tmp_path}/print"]) == 0
+    assert cli.main(["fingerprint", less, "--compare", f"file://{tmp_path}/print"]) == 1

@@ -43,6 +43,22 @@ def test_sync_counts_save_and_load(spark, tmp_path):
     assert bm25.compare_fingerprints(bm25.fingerprint(chunks(spark, TEXTS)), bm25.fingerprint(new)) == ["ids_sha256", "texts_sha256"]
 
 
+def test_fingerprint_of_metadata_and_vectors(spark):
+    kind = "chunk_id string, text string, source string, more map<string,string>, embedding array<float>"
+    rows = [("a", "one", "s", {"x": "1", "y": "2"}, [0.0, 1.0]), ("b", None, None, None, None)]
+
+    def differ(a, b=("b", None, None, None, None), kinds=kind):
+        return bm25.compare_fingerprints(bm25.fingerprint(spark.createDataFrame(rows, kind)), bm25.fingerprint(spark.createDataFrame([b, a], kinds)))
+
+    assert differ(("a", "one", "s", {"y": "2", "x": "1"}, [0.0, 1.0])) == []
+    assert differ(("a", "one", "s", rows[0][3], [0.0, 1.5])) == ["all_sha256", "vectors_sha256"]
+    assert differ(rows[0], ("b", None, None, None, [])) == ["all_sha256", "vectors_sha256"]
+    assert differ(("a", "one", "t", rows[0][3], [0.0, 1.0])) == ["all_sha256", "metadata_sha256"]
+    assert differ(("a", "one", "s", {"x": "2", "y": "1"}, [0.0, 1.0])) == ["all_sha256", "metadata_sha256"]
+    assert differ(("a", "two", "s", rows[0][3], [0.0, 1.0])) == ["all_sha256", "texts_sha256"]
+    assert differ(rows[0][:4], rows[1][:4], kind.rsplit(",", 1)[0]) == ["all_sha256", "vectors_sha256"]
+
+
 def ranked(spark, lists):
     return spark.createDataFrame([(1, name, c, i) for name, ids in lists.items() for i, c in enumerate(ids)], "query_id int, retriever string, chunk_id string, pos int")
 
