@@ -6,10 +6,6 @@ Regular expressions follow Python's rules where Java's differ: ``(?U)`` for Unic
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,14 +29,9 @@ def replaced(c: Column, pattern: str, by: str = "", flags: str = "Ud") -> Column
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC; Spark has no function for it, so this is the one text step that runs in Python."""
-
-    @F.pandas_udf("string")
-    def composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-    return composed(c)
+    """Unicode NFC, by the ICU library that Spark brings along. Text all below U+0300 is in NFC already. Null stays null."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    return F.when(c.rlike("[^\\x00-\\x{2FF}]"), composed).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
@@ -53,9 +44,9 @@ def truncate_query(c: Column, most: int = 2000) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """The form that is indexed and searched, for text in NFC: see ``nfc``. Null gives an empty text."""
+    """The form that is indexed and searched, from NFC on. Null gives an empty text."""
     digits = "".join(chr(0x0D66 + i) for i in range(10))
-    out = F.translate(F.coalesce(c, F.lit("")), digits + AU_SIGN[0] + ZERO_WIDTH, "0123456789" + AU_SIGN[1])
+    out = F.translate(nfc(F.coalesce(c, F.lit(""))), digits + AU_SIGN[0] + ZERO_WIDTH, "0123456789" + AU_SIGN[1])
     for old, new in (CHILLU | SEQUENCES).items():
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.lower(out)
@@ -178,11 +169,9 @@ def fix_whitespace(c: Column) -> Column:
     return c
 
 
-def clean_text(c: Column, compose: bool = False) -> Column:
-    """All steps in order; null gives an empty text. ``compose`` puts NFC first (in Python), for text not yet in it."""
-    c = F.coalesce(c, F.lit(""))
-    if compose:
-        c = nfc(c)
+def clean_text(c: Column) -> Column:
+    """All steps in order, NFC first; null gives an empty text."""
+    c = nfc(F.coalesce(c, F.lit("")))
     return strip(fix_whitespace(remove_headers(remove_junk(remove_urls(remove_page_numbers(c))))))
 
 

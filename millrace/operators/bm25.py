@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import text as tx
 
-FORMAT = 1
+FORMAT = 2  # 1: tokens of texts not put in NFC
 
 
 def token_lists(chunks: DataFrame, tokens: Column) -> DataFrame:

@@ -54,5 +54,5 @@ def summary(pages: DataFrame) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame, least: int = 50) -> DataFrame:
-    cleaned = pages.withColumn("text", tx.clean_text(F.col("text"), compose=True))
+    cleaned = pages.withColumn("text", tx.clean_text(F.col("text")))
     return cleaned.withColumn("is_short", F.length("text") < least)

@@ -29,6 +29,15 @@ def test_bm25_search_and_empty(spark):
     assert bm25.corpus_stats(bm25.doc_lengths(empty.docs)).first().avgdl == 1.0
 
 
+def test_decomposed_chunks_and_composed_questions(spark):
+    rows = [("a", "the cafe\u0301 is closed"), ("b", "the cafe is open")]
+    index = bm25.build_index(chunks(spark, rows))
+    assert top(spark, index, "caf\u00e9") == top(spark, index, "cafe\u0301") == ["a"]
+    evidence = spark.createDataFrame([(1, "f", "s", "caf\u00e9 is")], "query_id int, fact string, source string, text string")
+    found = evaluation.resolve_gold(evidence, chunks(spark, rows).withColumn("source", F.lit("s")))
+    assert [r.chunk_id for r in found.collect()] == ["a"]
+
+
 def test_sync_counts_save_and_load(spark, tmp_path):
     index = bm25.build_index(chunks(spark, TEXTS))
     new = chunks(spark, [TEXTS[0], ("b", "replaced text"), ("d", "an added one")])
