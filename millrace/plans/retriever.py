@@ -30,7 +30,7 @@ class RetrievalResult:
     warnings: list[str] = field(default_factory=list)
 
 
-_DENSE = "query_id {0}, chunk_id {1}, distance double, dense_rank int"
+_DENSE = "query_id {0}, chunk_id {1}, distance double, dense_rank int, text string, source string"
 _LEXICAL = "query_id {0}, chunk_id {1}, bm25_score double, bm25_rank int"
 
 
@@ -39,7 +39,8 @@ class HybridRetriever:
     """``chunks`` has ``chunk_id, text, source, embedding``. ``encode`` turns a question column into vectors and
     ``rerank`` a question and a passage column into scores; both may be missing.
 
-    Each leg runs in its own try, since Spark's errors come with its actions; what a leg found is kept in memory.
+    Each leg runs in its own try, since Spark's errors come with its actions; what a leg found is kept in memory. Dense
+    hits are kept with their texts, so they stay if those of the others can't be loaded.
     """
 
     chunks: DataFrame
@@ -76,7 +77,7 @@ class HybridRetriever:
             depth = cfg.dense_k if cfg.mode == "hybrid" else max(cfg.dense_k, k)
             vectors = leg("embed", "dense retrieval failed", lambda: asked.select("query_id", self._encoded(F.col("question")).alias("query_vector")))
             if vectors is not None:
-                dense = leg("dense", "dense retrieval failed", lambda: search.dense_topk(self.chunks, vectors, depth))
+                dense = leg("dense", "dense retrieval failed", lambda: search.dense_topk(self.chunks, vectors, depth).join(self.chunks.select("chunk_id", "text", "source"), "chunk_id"))
         if cfg.mode in ("hybrid", "bm25"):
             depth = cfg.bm25_k if cfg.mode == "hybrid" else max(cfg.bm25_k, k)
             if self.index is None or self.index.docs.isEmpty():
@@ -87,13 +88,14 @@ class HybridRetriever:
             raise RetrievalError("; ".join(result.warnings) or f"unknown mode {cfg.mode}")
         none = spark.createDataFrame([], _DENSE.format(*kinds)), spark.createDataFrame([], _LEXICAL.format(*kinds))
         dense, lexical = none[0] if dense is None else dense, none[1] if lexical is None else lexical
+        held, dense = dense.select("query_id", "chunk_id", "text", "source"), dense.drop("text", "source")
         fused = search.rrf(search.ranked_lists(dense, lexical), cfg.rrf_k)
         pool = max(k, cfg.rerank_candidates) if cfg.rerank_enabled and self.rerank else k
         cut = fused.filter(F.col("fused_rank") <= pool).join(search.merge_candidates(dense, lexical), ["query_id", "chunk_id"], "left")
         known = vectors if vectors is not None else spark.createDataFrame([], f"query_id {kinds[0]}, query_vector array<float>")
         rows = leg("hydrate", "failed to load lexical hits", lambda: search.hydrate(cut, self.chunks, known))
         if rows is None:
-            raise RetrievalError("; ".join(result.warnings))
+            rows = cut.filter("dense_rank IS NOT NULL").join(held, ["query_id", "chunk_id"])
         if cfg.rerank_enabled and self.rerank:
             scored = leg("rerank", "reranking failed", lambda: search.rerank(rows.join(asked, "query_id"), self.rerank(F.col("question"), F.col("text")), k).drop("question"))
             if scored is not None:

@@ -59,6 +59,21 @@ def test_fallbacks(spark, parts):
     assert not result.reranked and any(w.startswith("reranking failed") for w in result.warnings) and result.candidates.count() == 2
 
 
+def test_dense_hits_stay_when_hydration_fails(spark, parts, monkeypatch):
+    def lost(*tables):
+        raise RuntimeError("no store")
+
+    monkeypatch.setattr("millrace.operators.search.hydrate", lost)
+    q = asked(spark, "79/Leg.C3/2025/Law")
+    for more in ({}, {"rerank": lambda a, b: F.length(b).cast("double"), "config": {"rerank_enabled": True}}):
+        result = retriever(parts, **more).retrieve(q)
+        got = {r.chunk_id: (r.text, r.source, r.distance) for r in result.candidates.collect()}
+        assert result.warnings == ["failed to load lexical hits: RuntimeError"] and result.reranked == bool(more)
+        assert got == {c: (t, s, pytest.approx(v[0] ** 2 + v[1] ** 2)) for c, t, s, v in ROWS[:2]}
+    result = retriever(parts, config={"mode": "bm25"}).retrieve(q)
+    assert result.candidates.count() == 0 and len(result.warnings) == 1
+
+
 def test_rerank_order_and_stale_hits(spark, parts):
     score = lambda a, b: models.rerank_scores(a, b, models.OverlapReranker)
     result = retriever(parts, rerank=score, config={"rerank_enabled": True}).retrieve(asked(spark, "beta appeal"))
