@@ -352,7 +352,9 @@ def _sweep(b: Base) -> DataFrame:
 @query("sweep_tokenizer", None)
 def _sweep_tokenizer(b: Base) -> DataFrame:
     """BM25 alone with each kind of tokens: hits and mean reciprocal rank."""
-    kinds = {"raw": tx.tokenize_raw, "none": lambda c: tx.tokenize(c, "none"), "prefix5": tx.tokenize, "ngram4": lambda c: tx.tokenize(c, "ngram")}
+    kinds = {"raw": tx.tokenize_raw, "none": lambda c: tx.tokenize(c, "none")}
+    kinds |= {f"prefix{n}": lambda c, n=n: tx.tokenize(c, "prefix", n) for n in (4, 5, 6)}
+    kinds |= {f"ngram{n}": lambda c, n=n: tx.tokenize(c, "ngram", ngram_n=n) for n in (3, 4)}
     out = None
     for name, cut in kinds.items():
         docs = bm25.token_lists(b.chunks, cut(F.col("text")))

@@ -112,3 +112,10 @@ def test_config():
         with pytest.raises(ValueError):
             RetrievalConfig.from_env(bad)
     assert random.Random(0)  # no model is loaded to read settings
+
+
+def test_sweep_has_every_tokenizer(spark):
+    from millrace.plans.registry import QUERIES
+
+    got = {r.config for r in QUERIES["sweep_tokenizer"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"raw", "none", "prefix4", "prefix5", "prefix6", "ngram3", "ngram4"}
