@@ -20,7 +20,6 @@ ZERO_WIDTH = "​‌‍⁠﻿­"
 CHILLU = {"ൺ": "ണ്", "ൻ": "ന്", "ർ": "ര്", "ൽ": "ല്", "ൾ": "ള്", "ൿ": "ക്", "ൔ": "മ്", "ൕ": "യ്", "ൖ": "ഴ്"}
 AU_SIGN = ("ൌ", "ൗ")
 SEQUENCES = {"ളള": "ള്ള", "ററ": "റ്റ"}
-FOLDED = {"ß": "ss", "µ": "μ", "ſ": "s", "ŉ": "ʼn", "ǰ": "ǰ"}
 EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’—–-=_|*©°#~^+/\\"
 
 
@@ -34,6 +33,12 @@ def nfc(c: Column) -> Column:
     return F.when(c.rlike("[^\\x00-\\x{2FF}]"), composed).otherwise(c)
 
 
+def casefold(c: Column) -> Column:
+    """Full case folding, by the same library; for texts of ASCII alone lower case is that. Null stays null."""
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    return F.when(c.rlike("[^\\x00-\\x7F]"), folded).otherwise(F.lower(c))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space to one space, none at the ends."""
     return F.trim(replaced(c, SPACE + "+", " "))
@@ -49,10 +54,7 @@ def normalize(c: Column) -> Column:
     out = F.translate(nfc(F.coalesce(c, F.lit(""))), digits + AU_SIGN[0] + ZERO_WIDTH, "0123456789" + AU_SIGN[1])
     for old, new in (CHILLU | SEQUENCES).items():
         out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.lower(out)
-    for old, new in FOLDED.items():
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+    return casefold(out)
 
 
 def canonical(c: Column) -> Column:
@@ -115,6 +117,7 @@ def has_malayalam(c: Column) -> Column:
 
 # ---------------------------------------------------------------- cleaning
 
+# What counts as a page label, an address, junk, a heading or needless space.
 PAGE_RULES = (
     (rf"Page{SPACE}*\d+", "i"), (rf"താൾ{SPACE}*\d+", ""), (rf"പേജ്{SPACE}*\d+", ""),
     (rf"\bPage{SPACE}+\d+\b", "im"), (rf"\bപേജ്{SPACE}+\d+\b", "im"), (rf"\bതാൾ{SPACE}+\d+\b", "im"),
