@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import RetrievalConfig
 from millrace.functions import text as tx
-from millrace.operators import bm25
+from millrace.operators import bm25, postings
 from millrace.plans.retriever import HybridRetriever
 
 
@@ -43,21 +43,20 @@ def parser() -> argparse.ArgumentParser:
 def build_index(spark: SparkSession, args: argparse.Namespace) -> int:
     chunks = spark.read.parquet(args.chunks)
     version, tokens = tx.tokenizer_version(args.subword), tx.tokenize(F.col("text"), args.subword)
-    known = None if args.rebuild else bm25.load_index(spark, args.index, version)
+    known = None if args.rebuild else postings.load(spark, args.index, version)
     if known is None:
         if args.check:
             print("no index of this kind")
             return 1
-        bm25.save_index(bm25.build_index(chunks, args.subword), args.index)
+        postings.create(chunks, tokens, args.index, version)
         return 0
-    index, changes = bm25.sync(known, chunks, tokens)
-    drift = bm25.diff_counts(changes).first().asDict()
-    print(json.dumps(drift))
-    changed = any(drift[k] for k in ("added", "updated", "removed"))
+    counts = bm25.diff_counts(postings.drift(known, chunks)).first().asDict()
+    print(json.dumps(counts))
+    changed = any(counts[k] for k in ("added", "updated", "removed"))
     if args.check:
         return int(changed)
     if changed:
-        bm25.save_index(index, args.index)
+        postings.sync(known, chunks, tokens)
     return 0
 
 
@@ -75,7 +74,7 @@ def fingerprint(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def search(spark: SparkSession, args: argparse.Namespace) -> int:
     config = RetrievalConfig.from_env()
-    index = bm25.load_index(spark, args.index, tx.tokenizer_version())
+    index = postings.load(spark, args.index, tx.tokenizer_version())
     retriever = HybridRetriever(spark.read.parquet(args.chunks), index, config=config)
     result = retriever.retrieve(spark.read.schema("query_id string, question string").json(args.questions))
     result.candidates.write.mode("overwrite").json(args.out)

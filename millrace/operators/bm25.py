@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +14,6 @@ from pyspark.sql import types as T
 
 from millrace.functions import text as tx
 
-FORMAT = 2  # 1: tokens of texts not put in NFC
-
 
 def token_lists(chunks: DataFrame, tokens: Column) -> DataFrame:
     """``chunk_id, content_hash, tokens``: one row a chunk, empty ones too."""
@@ -48,16 +44,22 @@ def idf(df: Column, n: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def weight(tf: Column, doc_len: Column, df: Column, n: Column, avgdl: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """A posting's share of a score."""
+    return idf(df, n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avgdl))
+
+
 def weights(tf: DataFrame, lengths: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Each posting's share of a score: ``term, chunk_id, weight``. ``corpus`` is a single row."""
     corpus = F.broadcast(corpus_stats(lengths))
     rows = tf.join(lengths, "chunk_id").join(document_frequencies(tf), "term").join(corpus)
-    norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl"))
-    return rows.select("term", "chunk_id", (idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("weight"))
+    return rows.select("term", "chunk_id", weight(*map(F.col, ("tf", "doc_len", "df", "n", "avgdl")), k1, b).alias("weight"))
 
 
 @dataclass
 class Bm25Index:
+    """An index computed from its chunks' tokens; ``postings.SavedIndex`` is one in files."""
+
     docs: DataFrame  # chunk_id, content_hash, tokens
     version: str
     collection: str = ""
@@ -68,19 +70,26 @@ class Bm25Index:
     def postings(self) -> DataFrame:
         return weights(term_frequencies(self.docs), doc_lengths(self.docs), self.k1, self.b)
 
+    def search(self, query_tokens: DataFrame, k: int) -> DataFrame:
+        return search(self.postings, query_tokens, k)
+
+    @property
+    def empty(self) -> bool:
+        return self.docs.isEmpty()
+
 
 def build_index(chunks: DataFrame, subword: str = "prefix", prefix_len: int = 5, ngram_n: int = 4, collection: str = "", k1: float = 1.2, b: float = 0.75) -> Bm25Index:
     tokens = tx.tokenize(F.col("text"), subword, prefix_len, ngram_n)
     return Bm25Index(token_lists(chunks, tokens), tx.tokenizer_version(subword, prefix_len, ngram_n), collection, k1, b)
 
 
-def search(postings: DataFrame, query_tokens: DataFrame, k: int, broadcast_queries: bool = False) -> DataFrame:
+def search(postings: DataFrame, query_tokens: DataFrame, k: int) -> DataFrame:
     """``query_id, chunk_id, bm25_score, bm25_rank`` of the best ``k`` for ``query_id, tokens``.
 
     Each query term counts once; only positive scores; ties by id. The join is left to the planner's size check.
     """
     terms = query_tokens.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    scored = postings.join(F.broadcast(terms) if broadcast_queries else terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("raw"))
+    scored = postings.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("raw"))
     scored = scored.select("query_id", "chunk_id", F.round("raw", 6).alias("bm25_score")).filter("bm25_score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "chunk_id")
     return scored.withColumn("bm25_rank", F.row_number().over(best)).filter(F.col("bm25_rank") <= k)
@@ -100,49 +109,22 @@ def diff_counts(changes: DataFrame) -> DataFrame:
     return changes.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "updated", "removed")], F.count_if(F.col("status") != "removed").alias("total"))
 
 
-def sync(index: Bm25Index, chunks: DataFrame, tokens: Column) -> tuple[Bm25Index, DataFrame]:
-    """The index brought up to ``chunks``: only new and changed ones are tokenised again; and the changes."""
-    hashed = chunks.select("chunk_id", "text", tx.content_hash(F.col("text")).alias("content_hash"))
-    changes = diff(index.docs, hashed)
-    stay = index.docs.join(changes.filter("status = 'same'"), "chunk_id", "left_semi")
-    fresh = chunks.join(changes.filter("status IN ('added', 'updated')"), "chunk_id", "left_semi")
-    docs = stay.unionByName(token_lists(fresh, tokens).select(*stay.columns))
-    return Bm25Index(docs, index.version, index.collection, index.k1, index.b), changes
-
-
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def save_index(index: Bm25Index, path: str) -> None:
-    """Write a new version beside the old one, then swap the pointer: readers see either version whole."""
-    spark = index.docs.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    index.docs.write.parquet(f"{path}/{version}")
-    head = json.dumps({"format": FORMAT, "tokenizer": index.version, "collection": index.collection, "version": version, "k1": index.k1, "b": index.b})
-    draft, fs = _fs(spark, f"{path}/.head-{version}")
+def swap_file(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in place of another at once: it is written beside it and renamed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pointer, fs = file_system(spark, path)
+    draft, _ = file_system(spark, f"{path}.draft-{jvm.java.util.UUID.randomUUID()}")
     out = fs.create(draft, True)
-    out.write(bytearray(head.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    pointer, _ = _fs(spark, f"{path}/HEAD.json")
-    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(pointer), options)
-
-
-def load_index(spark: SparkSession, path: str, version: str, collection: str = "") -> Bm25Index | None:
-    """The saved index, or None if it is missing, unreadable or made with other settings, and so must be rebuilt."""
-    pointer, fs = _fs(spark, f"{path}/HEAD.json")
-    if not fs.exists(pointer):
-        return None
-    try:
-        head = json.loads("".join(r.value for r in spark.read.text(f"{path}/HEAD.json").collect()))
-        if (head["format"], head["tokenizer"], head["collection"]) != (FORMAT, version, collection):
-            return None
-        return Bm25Index(spark.read.parquet(f"{path}/{head['version']}"), version, collection, head["k1"], head["b"])
-    except (ValueError, KeyError):
-        return None
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(pointer), options)
 
 
 def _by_key(c: Column, kind: T.DataType) -> Column:

@@ -13,8 +13,8 @@ from millrace.config import RetrievalConfig
 from millrace.functions import text as tx
 from millrace.operators import search
 from millrace.operators.bm25 import Bm25Index
-from millrace.operators.bm25 import search as bm25_search
 from millrace.operators.models import Generator, RefusalError, generate
+from millrace.operators.postings import SavedIndex
 
 
 class RetrievalError(RuntimeError):
@@ -44,7 +44,7 @@ class HybridRetriever:
     """
 
     chunks: DataFrame
-    index: Bm25Index | None
+    index: Bm25Index | SavedIndex | None
     encode: Callable[[Column], Column] | None = None
     rerank: Callable[[Column, Column], Column] | None = None
     config: RetrievalConfig = field(default_factory=RetrievalConfig)
@@ -80,10 +80,10 @@ class HybridRetriever:
                 dense = leg("dense", "dense retrieval failed", lambda: search.dense_topk(self.chunks, vectors, depth).join(self.chunks.select("chunk_id", "text", "source"), "chunk_id"))
         if cfg.mode in ("hybrid", "bm25"):
             depth = cfg.bm25_k if cfg.mode == "hybrid" else max(cfg.bm25_k, k)
-            if self.index is None or self.index.docs.isEmpty():
+            if self.index is None or self.index.empty:
                 result.warnings.append("bm25 index unavailable")
             else:
-                lexical = leg("bm25", "bm25 retrieval failed", lambda: bm25_search(self.index.postings, asked.select("query_id", tx.tokenize(F.col("question")).alias("tokens")), depth))
+                lexical = leg("bm25", "bm25 retrieval failed", lambda: self.index.search(asked.select("query_id", tx.tokenize(F.col("question")).alias("tokens")), depth))
         if dense is None and lexical is None:
             raise RetrievalError("; ".join(result.warnings) or f"unknown mode {cfg.mode}")
         none = spark.createDataFrame([], _DENSE.format(*kinds)), spark.createDataFrame([], _LEXICAL.format(*kinds))
