@@ -151,11 +151,16 @@ def _vector_digest(c: Column) -> Column:
     return digest(c)
 
 
+FINGERPRINT_DIGITS = 4  # ids are hashed into 65,536 groups, some million of a hundred billion to a group
+
+
 def fingerprint(chunks: DataFrame) -> DataFrame:
-    """One row: count and SHA-256 over ids in order, and over the digests of texts, metadata and vectors in order of ids.
+    """One row: count and SHA-256 digests of ids, and of texts, metadata and vectors in order of ids.
 
     Metadata are all columns besides ``chunk_id``, ``text`` and ``embedding``, as JSON with sorted keys. Their digest
-    and that of vectors are given for tables that have such columns; with either goes one of all together.
+    and that of vectors are given for tables that have such columns; with either goes one of all together. Rows are
+    grouped by the first digits of their id's SHA-256; a group's digest is that of its lines in order of ids, and the
+    table's that of the groups' in order, so no task or row holds more than a group.
     """
     others = sorted((f for f in chunks.schema.fields if f.name not in ("chunk_id", "text", "embedding")), key=lambda f: f.name)
     digests = {"texts": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)}
@@ -163,14 +168,18 @@ def fingerprint(chunks: DataFrame) -> DataFrame:
         digests["metadata"] = F.sha2(F.to_json(F.struct(*[_by_key(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in others]), {"ignoreNullFields": "false"}), 256)
     if "embedding" in chunks.columns:
         digests["vectors"] = F.coalesce(_vector_digest(F.col("embedding")), F.lit(""))
-    rows = chunks.select("chunk_id", *[d.alias(name) for name, d in digests.items()])
+    key = F.coalesce(F.col("chunk_id").cast("string"), F.lit(""))
+    rows = chunks.select(key.alias("ids"), *[d.alias(name) for name, d in digests.items()])
     if len(digests) > 1:
-        rows = rows.withColumn("all", F.sha2(F.concat_ws("|", F.col("chunk_id").cast("string"), *digests), 256))
-    return rows.agg(
-        F.count("*").alias("n"),
-        F.sha2(F.array_join(F.sort_array(F.collect_list("chunk_id")), "\n"), 256).alias("ids_sha256"),
-        *[F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", F.col(name).alias("digest")))), lambda x: x["digest"]), "\n"), 256).alias(f"{name}_sha256") for name in rows.columns[1:]],
-    )
+        rows = rows.withColumn("all", F.sha2(F.concat_ws("|", "ids", *digests), 256))
+    names = rows.columns
+
+    def joined(name: str, by: str) -> Column:
+        ordered = F.sort_array(F.collect_list(F.struct(by, F.col(name).alias("line"))))
+        return F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 256)
+
+    groups = rows.groupBy(F.substring(F.sha2("ids", 256), 1, FINGERPRINT_DIGITS).alias("group")).agg(F.count("*").alias("n"), *[joined(name, "ids").alias(name) for name in names])
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[joined(name, "group").alias(f"{name}_sha256") for name in names])
 
 
 def compare_fingerprints(a: DataFrame, b: DataFrame) -> list[str]:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import strip
+from millrace.operators.ordering import running_sum
 
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 SIZE, OVERLAP, MIN_CHARS = 1000, 200, 200
@@ -22,12 +23,11 @@ def merge_short_pages(pages: DataFrame, least: int = 200) -> DataFrame:
     """``source, page, text`` to blocks ``source, block, pages, is_merged, text``.
 
     Runs of pages shorter than ``least`` are joined, each with a newline behind it; longer pages stand alone. Every
-    long page ends a run: a running count of them names the islands.
+    long page ends a run: a running count of them names the islands. Pages of one number go by their text.
     """
     own = strip(F.coalesce(F.col("text"), F.lit("")))
     rows = pages.select("source", "page", own.alias("text"), (F.length(own) >= least).alias("long"))
-    order = Window.partitionBy("source").orderBy("page")
-    rows = rows.withColumn("block", 2 * F.sum(F.col("long").cast("long")).over(order) - F.col("long").cast("long"))
+    rows = running_sum(rows, ["source"], ["page", "text"], F.col("long"), "longs").withColumn("block", 2 * F.col("longs") - F.col("long").cast("long"))
     blocks = rows.groupBy("source", "block", F.col("long")).agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: F.concat(x["text"], F.lit("\n"))), "")
     return blocks.select("source", "block", F.col("p.page").alias("pages"), (~F.col("long")).alias("is_merged"), F.when(F.col("long"), F.col("p")[0]["text"]).otherwise(joined).alias("text"))
@@ -96,8 +96,8 @@ def _chunked(rows: DataFrame, size: int, overlap: int) -> DataFrame:
 def chunk_pages(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = MIN_CHARS) -> DataFrame:
     """``source, block, page, text`` to chunks; those shorter than ``least`` go and the rest are numbered by source."""
     kept = _chunked(blocks.filter(strip(F.col("text")) != ""), size, overlap).filter(F.length(strip(F.col("chunk"))) >= least)
-    number = F.row_number().over(Window.partitionBy("source").orderBy("block", "pos")) - 1
-    return kept.select("source", "block", "page", number.cast("long").alias("chunk_no"), F.col("chunk").alias("text"), F.lit("unknown").alias("method"), F.length("chunk").cast("long").alias("char_count"), F.length("text").cast("long").alias("source_char_count"))
+    numbered = running_sum(kept, ["source"], ["block", "pos"], F.lit(1), "number")
+    return numbered.select("source", "block", "page", (F.col("number") - 1).alias("chunk_no"), F.col("chunk").alias("text"), F.lit("unknown").alias("method"), F.length("chunk").cast("long").alias("char_count"), F.length("text").cast("long").alias("source_char_count"))
 
 
 def chunk_document(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = MIN_CHARS) -> DataFrame:
@@ -107,15 +107,16 @@ def chunk_document(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, l
 
 
 def document(pages: DataFrame) -> DataFrame:
-    """``source, text``: a source's non-empty pages in order, joined by blank lines."""
+    """``source, text``: a source's non-empty pages in order, joined by blank lines, in one row as the document is one text."""
     parts = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("page", "text"))))
     return pages.groupBy("source").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def chunk_ids(chunks: DataFrame) -> DataFrame:
     """Both identities: over the whole run in order of source and chunk, and by source."""
-    place = F.row_number().over(Window.orderBy("source", "chunk_no")) - 1
-    return chunks.select("source", "page", "chunk_no", F.concat_ws("", "source", F.lit("_p"), "page", F.lit("_"), place.cast("string")).alias("chunk_id"), F.concat_ws("", "source", F.lit("_page"), "page", F.lit("_chunk"), F.col("chunk_no").cast("string")).alias("legacy_id"))
+    placed = running_sum(chunks, [], ["source", "chunk_no"], F.lit(1), "number")
+    place = F.col("number") - 1
+    return placed.select("source", "page", "chunk_no", F.concat_ws("", "source", F.lit("_p"), "page", F.lit("_"), place.cast("string")).alias("chunk_id"), F.concat_ws("", "source", F.lit("_page"), "page", F.lit("_chunk"), F.col("chunk_no").cast("string")).alias("legacy_id"))
 
 
 def check_limit(chunks: DataFrame, most: int = 40_000) -> DataFrame:

@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as tx
 
 DEPTH = 10
+NEEDLES = 10_000  # pieces of evidence that are sent to every task at once
 
 
 def resolve_gold(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """``query_id, fact, chunk_id, source``: chunks whose canonical text contains a piece of evidence.
 
-    A containment join has no key. The evidence is the golden set, some tens of passages and the small side; it is
-    broadcast by Spark if its size allows. A null ``source`` of evidence matches any.
+    The golden set, in blocks of ``NEEDLES`` pieces, is sent along as an Aho-Corasick automaton, so that a chunk's text
+    is read once for each block and not once for each piece. A null ``source`` of evidence matches any.
     """
     needles = evidence.select("query_id", "fact", F.col("source").alias("need_source"), tx.canonical(F.col("text")).alias("needle")).filter("needle <> ''")
+    numbered = needles.select("needle").distinct()
+    blocks = max(1, -(-numbered.count() // NEEDLES))
     hay = chunks.select("chunk_id", "source", tx.canonical(F.col("text")).alias("hay"))
-    found = hay.join(needles, F.contains("hay", "needle") & (F.col("need_source").isNull() | (F.col("need_source") == F.col("source"))))
-    return found.select("query_id", "fact", "chunk_id", "source").distinct()
+    found = reduce(DataFrame.unionByName, [_containing(hay, numbered.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == i)) for i in range(blocks)])
+    joined = found.join(needles, "needle").filter(F.col("need_source").isNull() | (F.col("need_source") == F.col("source")))
+    return joined.select("query_id", "fact", "chunk_id", "source").distinct()
+
+
+def _containing(hay: DataFrame, needles: DataFrame) -> DataFrame:
+    """``chunk_id, source, needle`` for each of ``needles`` that a chunk's ``hay`` contains."""
+    texts = [r.needle for r in needles.collect()]  # a block of the golden set
+    schema = T.StructType([hay.schema["chunk_id"], hay.schema["source"], T.StructField("needle", T.StringType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text in texts:
+            automaton.add_word(text, text)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column("hay").to_pylist() if texts else []):
+                met = {x for _, x in automaton.iter(text)}
+                rows += [k] * len(met)
+                found += met
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(at), batch.column("source").take(at), pa.array(found, pa.string())], schema.names)
+
+    return hay.mapInArrow(find, schema)
 
 
 def missing_evidence(evidence: DataFrame, gold: DataFrame) -> DataFrame:
@@ -27,7 +60,10 @@ def missing_evidence(evidence: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def violated_probes(probes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Questions whose absence probe (``query_id, probe``, a pattern) does match a chunk's raw text, in any case."""
+    """Questions whose absence probe (``query_id, probe``, a pattern) does match a chunk's raw text, in any case.
+
+    Patterns have no key to join by: each of the golden set's unanswerable questions is held against every chunk.
+    """
     return probes.join(chunks.select("text"), F.rlike(F.col("text"), F.concat(F.lit("(?i)"), F.col("probe"))), "left_semi").select("query_id")
 
 

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+QUERY_BLOCK = 4096  # query vectors that are sent to every task at once
+ROWS = 1024  # chunks held against them at a time
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -11,15 +21,60 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest neighbours: ``query_id, chunk_id, distance, dense_rank``.
+    """Exact nearest neighbours: ``query_id, chunk_id, distance, dense_rank``; ties by id.
 
-    A stated set of query vectors is held against all chunks. Each partition of chunks keeps its best k of each
-    query before the shuffle (WindowGroupLimit), so k rows a query and partition travel. Ties by id.
+    The stated set of query vectors is taken in blocks of ``QUERY_BLOCK``, each sent along as one matrix of that bound.
+    A task holds it against its chunks, some thousand at a time by a product of matrices, and keeps the best k of each
+    query, whose distances it then takes exactly; so k rows a query and task are shuffled. Chunks and queries without
+    a vector, or whose vector has another length than the block's, have no distance.
     """
-    rows = chunks.select("chunk_id", "embedding").join(queries.select("query_id", "query_vector"))
-    rows = rows.select("query_id", "chunk_id", F.round(squared_l2(F.col("embedding"), F.col("query_vector")), 6).alias("distance"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = reduce(DataFrame.unionByName, [_nearest(chunks, queries.filter(own == i), k) for i in range(blocks)])
     best = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return rows.withColumn("dense_rank", F.row_number().over(best)).filter(F.col("dense_rank") <= k)
+    return found.withColumn("dense_rank", F.row_number().over(best)).filter(F.col("dense_rank") <= k)
+
+
+def _nearest(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    asked = queries.filter("query_vector IS NOT NULL").select("query_id", F.col("query_vector").cast("array<double>").alias("v")).toArrow()
+    id_field, chunk_field = queries.schema["query_id"], chunks.schema["chunk_id"]
+    schema = T.StructType([id_field, chunk_field, T.StructField("distance", T.DoubleType())])
+    sizes = np.diff(asked.column("v").combine_chunks().offsets.to_numpy()) if len(asked) else np.zeros(0, int)
+    width = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+    asked = asked.filter(pa.array(sizes == width))
+    matrix = asked.column("v").combine_chunks().flatten().to_numpy().reshape(-1, width) if width else np.zeros((0, 0))
+    names = asked.column("query_id").combine_chunks()
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, np.ndarray]] = [(None, np.zeros(0))] * len(matrix)
+        worst = np.full(len(matrix), np.inf)  # of the k best so far, once there are k
+        squares = (matrix * matrix).sum(axis=1)
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
+            vectors = batch.column("embedding")
+            fits = (np.diff(vectors.offsets.to_numpy()) == width) & vectors.is_valid().to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(fits))
+            if not width or not len(batch):
+                continue
+            rows = batch.column("embedding").flatten().to_numpy().reshape(-1, width).astype(float)
+            rough = (rows * rows).sum(axis=1)[:, None] - 2 * (rows @ matrix.T) + squares
+            last = min(k, len(rows)) - 1
+            limit = np.minimum(np.partition(rough, last, axis=0)[last], worst)
+            near = rough <= limit + 2e-6 * (1 + np.abs(limit))  # none that rounding could bring to the k best is left out
+            for q in np.flatnonzero(near.any(axis=0)).tolist():
+                which = np.flatnonzero(near[:, q])
+                distances = np.round(((rows[which] - matrix[q]) ** 2).sum(axis=1), 6)
+                ids = batch.column("chunk_id").take(pa.array(which))
+                if held[q][0] is not None:
+                    ids, distances = pa.concat_arrays([held[q][0], ids]), np.concatenate([held[q][1], distances])
+                order = pc.sort_indices(pa.table({"d": distances, "i": ids}), sort_keys=[("d", "ascending"), ("i", "ascending")])[:k]
+                held[q] = ids.take(order), distances[order.to_numpy()]
+                if len(order) == k:
+                    worst[q] = held[q][1][-1]
+        for q, (ids, distances) in enumerate(held):
+            if ids is not None:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array([q] * len(ids))), ids, pa.array(distances)], schema.names)
+
+    return chunks.select("chunk_id", "embedding").mapInArrow(nearest, schema)
 
 
 def rrf(ranked: DataFrame, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:

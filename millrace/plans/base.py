@@ -128,11 +128,23 @@ class Base:
         return self.documents.select("source", F.col("doc_id").alias("page"), "text")
 
 
+    def close(self) -> None:
+        """Free what is kept."""
+        for kept in list(vars(self).values()):
+            if isinstance(kept, DataFrame) and kept.is_cached:
+                kept.unpersist()
+
+
 _known: dict[tuple[str, str], Base] = {}
 
 
 def base(spark: SparkSession, folder: str) -> Base:
+    """The tables of a folder; those of one folder are kept at a time, until another is asked for."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _known:
+        for other in list(_known):
+            old = _known.pop(other)
+            if other[0] == key[0]:
+                old.close()
         _known[key] = Base(spark, folder)
     return _known[key]

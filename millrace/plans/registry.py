@@ -170,7 +170,10 @@ def _collection_stats(b: Base) -> DataFrame:
     return b.vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimension"))
 
 
-@query("fingerprint_ids", "SELECT count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS ids_sha256, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id::VARCHAR)) AS texts_sha256 FROM documents")
+_GROUPS = "g AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 4) AS g, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS i, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id::VARCHAR)) AS t FROM documents GROUP BY ALL)"
+
+
+@query("fingerprint_ids", f"WITH {_GROUPS} SELECT sum(n)::BIGINT AS n, sha256(string_agg(i, chr(10) ORDER BY g)) AS ids_sha256, sha256(string_agg(t, chr(10) ORDER BY g)) AS texts_sha256 FROM g")
 def _fingerprint(b: Base) -> DataFrame:
     return bm25.fingerprint(b.chunks.select(F.col("chunk_id").cast("string"), "text"))
 

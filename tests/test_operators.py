@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.config import RetrievalConfig
 from millrace.functions import text as tx
 from millrace.operators import bm25, chunking, evaluation, postings, search
+from millrace.operators.ordering import running_sum
 
 TEXTS = [("k1", "Harbour pilots board large vessels at the outer buoy"), ("k2", "Each quarry licence expires after seven winters"), ("k3", "തുറമുഖ നികുതി 44/B/തുറ7/2031 schedule"), ("k4", "")]
 
@@ -165,3 +166,55 @@ def test_sweep_has_every_tokenizer(spark):
 
     got = {r.config for r in QUERIES["sweep_tokenizer"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {"raw", "none", "prefix4", "prefix5", "prefix6", "ngram3", "ngram4"}
+
+
+def test_running_sum(spark):
+    """Groups over many ranges, null groups, ties, an empty table, against a plain loop."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "x", None]), i, rng.randrange(5)) for i in range(700)]
+    table = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
+    got = {r.o: r.s for r in running_sum(table, ["g"], ["o"], F.col("v"), "s").collect()}
+    whole = {r.o: r.s for r in running_sum(table, [], ["o"], F.lit(1), "s").collect()}
+    sums = {}
+    for g, o, v in rows:
+        sums[g] = sums.get(g, 0) + v
+        assert got[o] == sums[g] and whole[o] == o + 1
+    assert running_sum(table.limit(0), ["g"], ["o"], F.lit(1), "s").count() == 0
+
+
+def test_dense_topk(spark, monkeypatch):
+    """Ties over batches, missing and short vectors, more queries than a block, against all pairs."""
+    rng = random.Random(4)
+    vectors = [(f"c{i}", [rng.randrange(3) / 2 for _ in range(4)]) for i in range(300)] + [("none", None), ("short", [1.0]), ("near", [0.5, 0.5, 0.5, 0.5000001])]
+    asked = [(q, [rng.randrange(3) / 2 for _ in range(4)]) for q in range(9)] + [(99, None)]
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(search, "ROWS", 64)
+    chunks_ = spark.createDataFrame(vectors, "chunk_id string, embedding array<float>").repartition(3)
+    got = search.dense_topk(chunks_, spark.createDataFrame(asked, "query_id int, query_vector array<float>"), 7).collect()
+    found = sorted((r.query_id, r.dense_rank, r.chunk_id, r.distance) for r in got)
+    want = []
+    for q, v in asked[:-1]:
+        every = sorted((round(sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), 6), c) for c, w in vectors if w and len(w) == 4)
+        want += [(q, i, c, d) for i, (d, c) in enumerate(every[:7], 1)]
+    assert found == want
+    assert search.dense_topk(chunks_, spark.createDataFrame([], "query_id int, query_vector array<float>"), 7).count() == 0
+    assert "NestedLoop" not in search.dense_topk(chunks_, spark.createDataFrame(asked, "query_id int, query_vector array<float>"), 7)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence(spark, monkeypatch):
+    """Pieces inside words, overlapping ones, one that two facts share, sources, blanks, more than a block."""
+    monkeypatch.setattr(evaluation, "NEEDLES", 2)
+    rows = [("a", "s", "The  Broad\nriver runs"), ("b", "t", "a broad river"), ("c", None, "roadrunner"), ("d", "s", None)]
+    wanted = [(1, "f", None, "broad river"), (1, "g", "s", "road r"), (2, "f", "t", "ROAD"), (3, "f", None, " "), (4, "h", None, "broad RIVER"), (5, "i", "s", "roadrunner"), (6, "j", None, "absent")]
+    evidence = spark.createDataFrame(wanted, "query_id int, fact string, source string, text string")
+    chunks_ = spark.createDataFrame(rows, "chunk_id string, source string, text string")
+    got = evaluation.resolve_gold(evidence, chunks_)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.fact, r.chunk_id) for r in got.collect()) == [(1, "f", "a"), (1, "f", "b"), (1, "g", "a"), (2, "f", "b"), (4, "h", "a"), (4, "h", "b")]
+    assert evaluation.resolve_gold(evidence.limit(0), chunks_).count() == 0
+
+
+def test_chunk_numbers_need_no_single_task(spark):
+    rows = spark.createDataFrame([(s, str(i), i) for s in ("a", "b") for i in range(40)], "source string, page string, chunk_no int").repartition(4)
+    ids = {(r.source, r.chunk_no): r.chunk_id for r in chunking.chunk_ids(rows).collect()}
+    assert ids == {(s, i): f"{s}_p{i}_{40 * (s == 'b') + i}" for s in ("a", "b") for i in range(40)}
