@@ -6,11 +6,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PART_BYTES = 4 << 20  # of a written table, for each of its parts at least, where a bound is known
 _OWN: dict[str, str] = {}
 _RECORDS: list[list[str]] = []
 
@@ -59,15 +60,26 @@ def recorded() -> Iterator[list[str]]:
         _RECORDS.remove(paths)
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a written table, by the sizes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def stage_table(df: DataFrame, name: str, within: Sequence[DataFrame] = (), spread: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage with copies that survive a lost executor, and gives the planner true sizes, so that a
-    small result is broadcast by Spark's own size check and a large one is not.
+    small result is broadcast by Spark's own size check and a large one is not. ``within``: written tables that
+    are together at least as large as the result. It is then written in no more parts than its greatest size is
+    worth, so that small tables are not strewn over as many files as a large shuffle has partitions. With
+    ``spread`` the work before the writing keeps its own partitions, at the cost of one more exchange.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    if within:
+        parts = sum(map(table_bytes, within)) // PART_BYTES + 1
+        df = df.repartition(parts) if spread else df.coalesce(parts)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
