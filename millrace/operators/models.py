@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -53,10 +54,42 @@ def encode(c: Column, load: Callable[[], Encoder], batch: int = 32) -> Column:
     return run(c)
 
 
+class _Once:
+    """What ``load`` gives, made on first use, once in a worker process; a failure is remembered and raised again."""
+
+    made: dict[str, object] = {}
+
+    def __init__(self, load: Callable[[], Reranker]) -> None:
+        self.load, self.key = load, uuid.uuid4().hex
+
+    def get(self) -> Reranker:
+        if self.key not in self.made:
+            try:
+                self.made[self.key] = self.load()
+            except Exception as e:  # whatever a model raises
+                self.made[self.key] = e
+        if isinstance(found := self.made[self.key], Exception):
+            raise RuntimeError("the reranker could not be loaded") from found
+        return found
+
+
+def quantized(load: Callable[[], Reranker], kind: str, device: str = "cpu") -> Callable[[], Reranker]:
+    """``load`` with its model passed through its own ``quantize(kind)``, if it has one; on another device than a CPU as it is."""
+
+    def loaded() -> Reranker:
+        model = load()
+        return model.quantize(kind) if kind and device in ("", "cpu") and hasattr(model, "quantize") else model
+
+    return loaded
+
+
 def rerank_scores(question: Column, passage: Column, load: Callable[[], Reranker], batch: int = 8) -> Column:
+    """Scores of pairs; the model is loaded once a worker, by the first batch that needs it."""
+    once = _Once(load)
+
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = load()
+        model = once.get()
         for a, b in parts:
             pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
             yield pd.Series([float(s) for p in _batches(pairs, batch) for s in model.score(p)])

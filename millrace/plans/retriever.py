@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from millrace.config import RetrievalConfig
 from millrace.functions import text as tx
-from millrace.operators import search
+from millrace.operators import models, postings, search
 from millrace.operators.bm25 import Bm25Index
-from millrace.operators.models import Generator, RefusalError, generate
+from millrace.operators.models import Encoder, Generator, RefusalError, Reranker, generate
 from millrace.operators.postings import SavedIndex
 
 
@@ -112,6 +113,31 @@ class HybridRetriever:
         return self.encode(c)
 
 
+def prepared_index(chunks: DataFrame, config: RetrievalConfig, sync: bool = True) -> SavedIndex:
+    """The saved index at the setting's path: brought up to ``chunks``, only opened, or made if there is none of this kind."""
+    version, tokens = tx.tokenizer_version(), tx.tokenize(F.col("text"))
+    known = postings.load(chunks.sparkSession, config.index_path, version, config.collection)
+    if known is None:
+        return postings.create(chunks, tokens, config.index_path, version, config.collection, config.bm25_k1, config.bm25_b)
+    return postings.sync(known, chunks, tokens)[0] if sync else known
+
+
+def build_retriever(chunks: DataFrame, config: RetrievalConfig, encoder: Callable[[], Encoder] | None = None, reranker: Callable[[], Reranker] | None = None) -> HybridRetriever:
+    """A retriever over ``chunks``; models are given by what loads them. Without its index or its reranker it starts too."""
+    index = None
+    if config.mode in ("hybrid", "bm25"):
+        try:
+            index = prepared_index(chunks, config, config.bm25_auto_sync)
+        except Exception as e:  # whatever a file system or the data raise
+            warnings.warn(f"the BM25 index could not be prepared: {type(e).__name__}: {e}", stacklevel=2)
+    encode = (lambda c: models.encode(c, encoder)) if encoder else None
+    rerank = None
+    if reranker and config.rerank_enabled:
+        loaded = models.quantized(reranker, config.rerank_quantize, config.rerank_device)
+        rerank = lambda q, p: models.rerank_scores(q, p, loaded, config.rerank_batch_size)
+    return HybridRetriever(chunks, index, encode, rerank, config)
+
+
 def citations(candidates: DataFrame) -> DataFrame:
     """What is shown of a candidate as its source, with a relevance from 0 to 1."""
     return candidates.select("query_id", "final_rank", F.col("source").alias("pdf"), "chunk_id", "distance", search.relevance(F.col("distance")).alias("relevance"), "rerank_score")

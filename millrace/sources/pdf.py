@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
 
-Parser = Callable[[bytes], list[str]]
+Parser = Callable[[bytes], Iterable[str]]
 Engine = Callable[[bytes, int], str]  # content and page number from 1 to text
 PAGES = "source string, page int, text string, method string, char_count int, error string"
 
@@ -24,7 +24,8 @@ def find_pdfs(spark: SparkSession, folder: str) -> DataFrame:
 def extract_pages(files: DataFrame, parser: Parser, engines: tuple[Engine, ...] = (), least: int = 50) -> DataFrame:
     """A row per page. A page of under ``least`` characters goes through the OCR engines, the first long result counts.
 
-    A file that can't be parsed gives one row with its ``error`` and no text, so that one file doesn't end a run.
+    Where a file can't be parsed, or not further, a row with its ``error`` and no text comes behind the pages that it
+    gave, so that one file doesn't end a run. A parser may give its pages one by one.
     """
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,16 +33,14 @@ def extract_pages(files: DataFrame, parser: Parser, engines: tuple[Engine, ...]
             rows: list[tuple] = []
             for source, content in zip(part["source"], part["content"], strict=True):
                 try:
-                    pages = parser(bytes(content))
+                    for number, text in enumerate(parser(bytes(content)), 1):
+                        text, method = (text or "").strip(), "pypdf"
+                        if len(text) < least:
+                            read_ = next((t for t in (e(bytes(content), number).strip() for e in engines) if len(t) >= least), None)
+                            text, method = (text, "pypdf_fallback") if read_ is None else (read_, "ocr")
+                        rows.append((source, number, text, method, len(text), None))
                 except Exception as e:  # a parser may raise anything
                     rows.append((source, 0, None, None, 0, f"{type(e).__name__}: {e}"))
-                    continue
-                for number, text in enumerate(pages, 1):
-                    text, method = (text or "").strip(), "pypdf"
-                    if len(text) < least:
-                        read_ = next((t for t in (e(bytes(content), number).strip() for e in engines) if len(t) >= least), None)
-                        text, method = (text, "pypdf_fallback") if read_ is None else (read_, "ocr")
-                    rows.append((source, number, text, method, len(text), None))
             yield pd.DataFrame(rows, columns=["source", "page", "text", "method", "char_count", "error"])
 
     return files.select("source", "content").mapInPandas(read, PAGES)

@@ -116,6 +116,21 @@ def test_pdf_pages_and_files(spark, tmp_path):
 
     pages = pdf.extract_pages(pdf.find_pdfs(spark, f"file://{tmp_path}"), parser, (lambda c, n: "o" * 55,)).orderBy("source", "page").collect()
     assert [(r.source, r.page, r.method) for r in pages] == [("a.pdf", 0, None), ("b.PDF", 1, "ocr"), ("b.PDF", 2, "pypdf")] and "bad file" in pages[0].error
+
+
+def test_pages_before_a_broken_one_stay(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x")
+
+    def parser(content):
+        yield "w" * 70
+        yield "short"
+        raise ValueError("page three")
+
+    rows = pdf.extract_pages(pdf.find_pdfs(spark, f"file://{tmp_path}"), parser).orderBy("page").collect()
+    assert [(r.page, r.method, r.char_count) for r in rows] == [(0, None, 0), (1, "pypdf", 70), (2, "pypdf_fallback", 5)] and "page three" in rows[0].error
+
+
+def test_golden_and_review_files(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text('{"id":"q1","evidence":[{"text":"t"}]}\n\n{"id":"q2","evidence":[]}\n')
     golden = files.read_golden(spark, f"file://{tmp_path}/g.jsonl")
     assert golden.count() == 2 and files.golden_evidence(golden).first().fact == "t"
