@@ -69,6 +69,12 @@ class Base:
     def dense(self) -> DataFrame:
         return search.dense_topk(self.vectors, self.query_vectors, self.config.dense_k).persist()
 
+    @cached_property
+    def deep(self) -> DataFrame:
+        """The ranked lists of both retrievers down to 50, for sweeps."""
+        dense = search.dense_topk(self.vectors, self.query_vectors, 50)
+        return search.ranked_lists(dense, bm25.search(bm25.weights(self.tf, self.lengths), self.query_tokens, 50)).persist()
+
     @property
     def ranked(self) -> DataFrame:
         return search.ranked_lists(self.dense, self.lexical)
@@ -87,12 +93,15 @@ class Base:
         merged = search.merge_candidates(self.dense, self.lexical)
         return search.hydrate(cut.join(merged, ["query_id", "chunk_id"], "left"), self.store, self.query_vectors).persist()
 
+    def reranked_from(self, depth: int) -> DataFrame:
+        """The first ``depth`` of the pool reranked by a stand-in scorer, the share of query tokens that a passage has."""
+        asked = self.query_tokens.select("query_id", F.col("tokens").alias("asked"))
+        rows = self.pool.filter(F.col("fused_rank") <= depth).join(asked, "query_id").join(self.tokens.select("chunk_id", "tokens"), "chunk_id")
+        return search.rerank(rows, search.overlap_score(F.col("asked"), F.col("tokens")), self.config.final_top_k).drop("asked", "tokens")
+
     @cached_property
     def reranked(self) -> DataFrame:
-        """The pool reranked by a stand-in scorer, the share of query tokens that a passage has."""
-        asked = self.query_tokens.select("query_id", F.col("tokens").alias("asked"))
-        rows = self.pool.join(asked, "query_id").join(self.tokens.select("chunk_id", "tokens"), "chunk_id")
-        return search.rerank(rows, search.overlap_score(F.col("asked"), F.col("tokens")), self.config.final_top_k).drop("asked", "tokens").persist()
+        return self.reranked_from(self.config.pool).persist()
 
     @cached_property
     def results(self) -> DataFrame:

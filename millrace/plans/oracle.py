@@ -40,6 +40,8 @@ den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ch
 RANKED = LEX + ", " + DEN + """, ranked AS (SELECT query_id, 'dense' AS retriever, chunk_id, dense_rank AS pos FROM den UNION ALL SELECT query_id, 'bm25', chunk_id, bm25_rank FROM lex)"""
 FUSED = RANKED + """, fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, best_rank, chunk_id)::INT AS fused_rank
   FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS rrf_score, min(pos)::INT AS best_rank FROM ranked GROUP BY ALL))"""
+# The same lists to depth 50, for sweeps.
+RANKED50 = RANKED.replace("QUALIFY bm25_rank <= 30", "QUALIFY bm25_rank <= 50").replace("QUALIFY dense_rank <= 30", "QUALIFY dense_rank <= 50")
 POOL = FUSED + """, pool AS (SELECT f.query_id, f.chunk_id, rrf_score, best_rank, fused_rank, dense_rank, bm25_score, bm25_rank, d.text, d.source,
   coalesce(distance, round(list_distance(e.embedding::DOUBLE[], qv.query_vector::DOUBLE[]) ** 2, 6)) AS distance
   FROM fused f LEFT JOIN den USING (query_id, chunk_id) LEFT JOIN lex USING (query_id, chunk_id) JOIN documents d ON d.doc_id = f.chunk_id

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WEIGHTS = {"bm25": 2.0}
 TEMPLATE = "Answer from the context only.\n\nContext:\n{context}\n\nQuestion:\n{question}\n"
-DEPTHS, KS = [10, 20, 30], [10, 60, 100]
+DEPTHS, KS = [10, 20, 30, 50], [10, 30, 60, 100]
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -329,12 +330,13 @@ def _ids(rows: DataFrame) -> DataFrame:
 _LISTS = "ls AS (SELECT config, query_id, list(chunk_id ORDER BY rank) AS ids FROM res GROUP BY ALL)"
 
 
-@query("answer_match", f"WITH {o.RES}, {_LISTS} SELECT b.config, b.query_id FROM ls b JOIN ls c ON b.query_id = c.query_id AND b.ids = c.ids WHERE b.config = 'b_hybrid' AND c.config = 'c_rerank'")
+@query("answer_match", f"WITH {o.RES}, {_LISTS} SELECT b.config, b.query_id FROM ls b JOIN ls c ON b.query_id = c.query_id AND b.ids = c.ids WHERE b.config = 'b_hybrid' AND c.config = CASE WHEN b.query_id % 2 = 0 THEN 'b_hybrid' ELSE 'c_rerank' END")
 def _match(b: Base) -> DataFrame:
-    """Answers given for the reranked lists, held against the fused ones: those whose ids are the same."""
+    """Answers held against the fused lists; those to odd questions were given for reranked ones, so most don't match."""
     lists = _ids(b.results)
     runs = lists.filter(F.col("config") == CONFIGS[1]).withColumnRenamed("ids", "ranked_ids")
-    answers = lists.filter(F.col("config") == CONFIGS[2]).select(F.lit(CONFIGS[1]).alias("config"), "query_id", F.col("ids").alias("answer_ids"))
+    given = F.when(F.col("query_id") % 2 == 0, CONFIGS[1]).otherwise(CONFIGS[2])
+    answers = lists.filter(F.col("config") == given).select(F.lit(CONFIGS[1]).alias("config"), "query_id", F.col("ids").alias("answer_ids"))
     return evaluation.matching_answers(answers, runs)
 
 
@@ -347,24 +349,60 @@ def _pending(b: Base) -> DataFrame:
 _GRID = ", ".join(f"({d}, {k})" for d in DEPTHS for k in KS)
 
 
-@query("sweep_rrf", f"WITH {o.RANKED}, {o.GOLD}, g(depth, k) AS (VALUES {_GRID}), t AS (SELECT depth, k, query_id, chunk_id, row_number() OVER (PARTITION BY depth, k, query_id ORDER BY s DESC, best, chunk_id) AS rank FROM (SELECT depth, k, query_id, chunk_id, round(sum(1.0::DOUBLE / (k + pos)), 9) AS s, min(pos) AS best FROM ranked JOIN g ON pos <= depth GROUP BY ALL) QUALIFY rank <= 10), f AS (SELECT depth, k, query_id, min(rank) AS first FROM t JOIN (SELECT DISTINCT query_id, chunk_id FROM gold) USING (query_id, chunk_id) GROUP BY ALL) SELECT g.depth::INT AS depth, g.k::INT AS k, count(*) FILTER (WHERE first = 1) AS hit_1, count(first) AS hit_10, round(avg(coalesce(1::DOUBLE / first, 0)), 6) AS mrr FROM g CROSS JOIN (SELECT DISTINCT query_id FROM gold) q LEFT JOIN f ON f.depth = g.depth AND f.k = g.k AND f.query_id = q.query_id GROUP BY ALL")
+@query("sweep_rrf", f"WITH {o.RANKED50}, {o.GOLD}, g(depth, k) AS (VALUES {_GRID}), t AS (SELECT depth, k, query_id, chunk_id, row_number() OVER (PARTITION BY depth, k, query_id ORDER BY s DESC, best, chunk_id) AS rank FROM (SELECT depth, k, query_id, chunk_id, round(sum(1.0::DOUBLE / (k + pos)), 9) AS s, min(pos) AS best FROM ranked JOIN g ON pos <= depth GROUP BY ALL) QUALIFY rank <= 10), f AS (SELECT depth, k, query_id, min(rank) AS first FROM t JOIN (SELECT DISTINCT query_id, chunk_id FROM gold) USING (query_id, chunk_id) GROUP BY ALL) SELECT g.depth::INT AS depth, g.k::INT AS k, count(*) FILTER (WHERE first = 1) AS hit_1, count(first) AS hit_10, round(avg(coalesce(1::DOUBLE / first, 0)), 6) AS mrr FROM g CROSS JOIN (SELECT DISTINCT query_id FROM gold) q LEFT JOIN f ON f.depth = g.depth AND f.k = g.k AND f.query_id = q.query_id GROUP BY ALL")
 def _sweep(b: Base) -> DataFrame:
-    return evaluation.sweep_rrf(b.ranked, b.gold, DEPTHS, KS)
+    return evaluation.sweep_rrf(b.deep, b.gold, DEPTHS, KS)
+
+
+TOKENIZERS: dict[str, Callable] = {"raw": tx.tokenize_raw, "none": lambda c: tx.tokenize(c, "none")}
+TOKENIZERS |= {f"prefix{n}": lambda c, n=n: tx.tokenize(c, "prefix", n) for n in (4, 5, 6)}
+TOKENIZERS |= {f"ngram{n}": lambda c, n=n: tx.tokenize(c, "ngram", ngram_n=n) for n in (3, 4)}
+
+
+def _by_tokenizer(b: Base, k: int) -> DataFrame:
+    """``config, query_id, chunk_id, bm25_rank`` for each kind of tokens: terms carry their kind, so all are one search."""
+    kinds = lambda c: F.explode(F.array(*[F.struct(F.lit(name).alias("config"), cut(c).alias("tokens")) for name, cut in TOKENIZERS.items()]))
+    marked = F.transform("x.tokens", lambda w: F.concat_ws("|", "x.config", w))
+    docs = b.chunks.select("chunk_id", kinds(F.col("text")).alias("x")).select("chunk_id", "x.config", marked.alias("tokens"))
+    tf = docs.select("config", "chunk_id", F.explode("tokens").alias("term")).groupBy("config", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    lengths = docs.select("config", "chunk_id", F.size("tokens").cast("long").alias("doc_len"))
+    mean = F.when(F.sum("doc_len") > 0, F.sum("doc_len") / F.count("*")).otherwise(1.0)
+    corpus = lengths.groupBy("config").agg(F.count("*").alias("n"), mean.alias("avgdl"))
+    rows = tf.join(lengths, ["config", "chunk_id"]).join(bm25.document_frequencies(tf), "term").join(F.broadcast(corpus), "config")  # a row for each kind
+    weighted = rows.select("term", "chunk_id", bm25.weight(*map(F.col, ("tf", "doc_len", "df", "n", "avgdl"))).alias("weight"))
+    asked = b.questions.select("query_id", kinds(tx.truncate_query(F.col("question"))).alias("x")).select(F.struct("x.config", "query_id").alias("query_id"), marked.alias("tokens"))
+    return bm25.search(weighted, asked, k).select("query_id.config", "query_id.query_id", "chunk_id", "bm25_rank")
 
 
 @query("sweep_tokenizer", None)
 def _sweep_tokenizer(b: Base) -> DataFrame:
     """BM25 alone with each kind of tokens: hits and mean reciprocal rank."""
-    kinds = {"raw": tx.tokenize_raw, "none": lambda c: tx.tokenize(c, "none")}
-    kinds |= {f"prefix{n}": lambda c, n=n: tx.tokenize(c, "prefix", n) for n in (4, 5, 6)}
-    kinds |= {f"ngram{n}": lambda c, n=n: tx.tokenize(c, "ngram", ngram_n=n) for n in (3, 4)}
-    out = None
-    for name, cut in kinds.items():
-        docs = bm25.token_lists(b.chunks, cut(F.col("text")))
-        found = bm25.search(bm25.weights(bm25.term_frequencies(docs), bm25.doc_lengths(docs)), b.questions.select("query_id", cut(F.col("question")).alias("tokens")), 10)
-        rows = found.select(F.lit(name).alias("config"), "query_id", "chunk_id", F.col("bm25_rank").alias("rank"))
-        out = rows if out is None else out.unionByName(rows)
-    return evaluation.summarize(evaluation.question_metrics(out, b.gold, b.page_keys))
+    found = _by_tokenizer(b, 10).select("config", "query_id", "chunk_id", F.col("bm25_rank").alias("rank"))
+    return evaluation.summarize(evaluation.question_metrics(found, b.gold, b.page_keys))
+
+
+@query("sweep_hybrid_tokenizer", None)
+def _sweep_hybrid(b: Base) -> DataFrame:
+    """Dense hits fused with those of BM25 by each kind of tokens."""
+    lexical = _by_tokenizer(b, b.config.bm25_k).select(F.struct("config", "query_id").alias("query_id"), F.lit("bm25").alias("retriever"), "chunk_id", F.col("bm25_rank").alias("pos"))
+    kinds = F.explode(F.array(*map(F.lit, TOKENIZERS))).alias("config")
+    dense = b.dense.select(kinds, "query_id", "chunk_id", F.col("dense_rank").alias("pos")).select(F.struct("config", "query_id").alias("query_id"), F.lit("dense").alias("retriever"), "chunk_id", "pos")
+    fused = search.rrf(dense.unionByName(lexical), b.config.rrf_k).filter("fused_rank <= 10")
+    return evaluation.summarize(evaluation.question_metrics(fused.select("query_id.config", "query_id.query_id", "chunk_id", F.col("fused_rank").alias("rank")), b.gold, b.page_keys))
+
+
+RERANK_DEPTHS = [10, 20, 30]
+_DEPTHS = " UNION ALL ".join(
+    f"SELECT 'rerank{d}' AS config, p.query_id, p.chunk_id, row_number() OVER (PARTITION BY p.query_id ORDER BY round(len(list_intersect(list_distinct(q.toks), t.toks))::DOUBLE / greatest(len(list_distinct(q.toks)), 1), 6) DESC, fused_rank)::INT AS rank FROM pool p JOIN qtok q ON q.query_id = p.query_id JOIN tok t ON t.chunk_id = p.chunk_id WHERE fused_rank <= {d} QUALIFY rank <= 10"
+    for d in RERANK_DEPTHS
+)
+
+
+@query("sweep_rerank_depth", f"WITH {o.MET.replace(o.RES, o.RER + ', res AS (' + _DEPTHS + ')')} SELECT config, {o.SUMMARY} FROM met GROUP BY config")
+def _sweep_rerank(b: Base) -> DataFrame:
+    """Reranking of the first 10, 20 and 30 fused candidates."""
+    parts = [b.reranked_from(d).select(F.lit(f"rerank{d}").alias("config"), "query_id", "chunk_id", F.col("final_rank").alias("rank")) for d in RERANK_DEPTHS]
+    return evaluation.summarize(evaluation.question_metrics(reduce(DataFrame.unionByName, parts), b.gold, b.page_keys))
 
 
 @query("facets", "SELECT facet, value, count(*) AS n FROM (SELECT 'lang' AS facet, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY ALL")
