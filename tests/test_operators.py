@@ -218,3 +218,50 @@ def test_chunk_numbers_need_no_single_task(spark):
     rows = spark.createDataFrame([(s, str(i), i) for s in ("a", "b") for i in range(40)], "source string, page string, chunk_no int").repartition(4)
     ids = {(r.source, r.chunk_no): r.chunk_id for r in chunking.chunk_ids(rows).collect()}
     assert ids == {(s, i): f"{s}_p{i}_{40 * (s == 'b') + i}" for s in ("a", "b") for i in range(40)}
+
+
+def plain_chunks(text, size, overlap, seps=("\n\n", "\n", ".", " ", "")):
+    """Windows of pieces, read from the rules: cut before each separator, keep what fits, go finer where a piece does not."""
+    sep, *finer = next((seps[i:] for i, s in enumerate(seps) if s == "" or s in text), seps[-1:])
+    cuts = [0, *(m.start() for m in re.finditer(re.escape(sep), text) if m.start()), len(text)] if sep else range(len(text) + 1)
+    out, window = [], []
+    for a, b in zip(cuts, list(cuts)[1:], strict=False):
+        piece = text[a:b]
+        if len(piece) >= size:
+            out += ["".join(window)] * bool(window) + (plain_chunks(piece, size, overlap, finer) if finer else [piece])
+            window = []
+            continue
+        if window and sum(map(len, window)) + len(piece) > size:
+            out.append("".join(window))
+            while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(piece) > size):
+                window = window[1:]
+        window = [*window, piece]
+    return [c for c in (x.strip() for x in [*out, "".join(window)]) if c]
+
+
+def test_chunk_pages_and_documents_by_brute_force(spark):
+    rng = random.Random(11)
+    words = ["alpha", "be", "gamma.", "delta\n", "\n\n", "x" * 120, "é", "."]
+    pages = [(s, p, "".join(rng.choice(words) + rng.choice([" ", ""]) for _ in range(rng.randrange(0, 160)))) for s in ("a", "b") for p in range(14)]
+    rows = spark.createDataFrame(pages, "source string, page int, text string").repartition(3)
+    merged = chunking.merge_short_pages(rows, 60)
+    blocks = merged.select("source", "block", chunking.page_label(F.col("pages"), F.col("is_merged")).alias("page"), "text")
+    got = sorted((r.source, r.chunk_no, r.page, r.text) for r in chunking.chunk_pages(blocks, 100, 30, 20).collect())
+    want = []
+    for s in ("a", "b"):
+        held, run, number = [], [], 0
+        for p, t in [(p, t.strip()) for x, p, t in pages if x == s] + [(None, None)]:
+            if t is not None and len(t) < 60:
+                run.append((p, t))
+                continue
+            held += [("[" + ", ".join(str(q) for q, _ in run) + "]", "".join(t_ + "\n" for _, t_ in run))] * bool(run) + [(str(p), t)] * (t is not None)
+            run = []
+        for label, t in held:
+            for chunk in plain_chunks(t, 100, 30) if t.strip() else []:
+                if len(chunk) >= 20:
+                    want.append((s, number, label, chunk))
+                    number += 1
+    assert got == want
+    whole = {s: "\n\n".join(t for x, _, t in pages if x == s and t) for s in ("a", "b")}
+    got = sorted((r.source, r.chunk_no, r.text) for r in chunking.chunk_document(rows, 100, 30, 20).collect())
+    assert got == [(s, i, c) for s in ("a", "b") for i, c in enumerate(plain_chunks(whole[s], 100, 30)) if len(c) >= 20]
