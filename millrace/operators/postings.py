@@ -20,8 +20,8 @@ from millrace.operators import bm25
 from millrace.staging import remove
 
 FORMAT = 3
-BUCKETS = 256
-SPREAD = 4  # parts of a bucket, so that a word that nearly all chunks have is not written by one task
+BUCKETS = 32
+SPREAD = 2_000_000  # chunks for each part of a bucket, so that a word that nearly all chunks have is not written by one task
 COMPACT = 16  # segments from which an update writes them anew as one
 
 
@@ -174,7 +174,8 @@ def _commit(index: SavedIndex, fresh: DataFrame, dead: DataFrame | None) -> Save
 
 def _write_postings(rows: DataFrame, index: SavedIndex, name: str) -> None:
     bucket = term_bucket(F.col("term"), index.buckets)
-    dealt = rows.select(bucket.alias("bucket"), "term", "chunk_id", "tf", "doc_len").repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)))
+    parts = 1 + index.spark.read.parquet(f"{index.path}/{name}/docs").count() // SPREAD
+    dealt = rows.select(bucket.alias("bucket"), "term", "chunk_id", "tf", "doc_len").repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
     dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/{name}/postings")
 
 

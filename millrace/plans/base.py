@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.config import RetrievalConfig
 from millrace.functions import text as tx
-from millrace.operators import bm25, evaluation, search
+from millrace.operators import bm25, evaluation, postings, search
+from millrace.staging import new_path
 
 CONFIGS = ["a_dense", "b_hybrid", "c_rerank"]
 
@@ -65,6 +66,13 @@ class Base:
     def lexical(self) -> DataFrame:
         return bm25.search(bm25.weights(self.tf, self.lengths), self.query_tokens, self.config.bm25_k).persist()
 
+    def new_index(self) -> postings.SavedIndex:
+        return postings.create(self.chunks, tx.tokenize(F.col("text")), new_path(self.spark, "index"), tx.tokenizer_version())
+
+    @cached_property
+    def index(self) -> postings.SavedIndex:
+        return self.new_index()
+
     @cached_property
     def dense(self) -> DataFrame:
         return search.dense_topk(self.vectors, self.query_vectors, self.config.dense_k).persist()

@@ -198,6 +198,14 @@ def _weights(b: Base) -> DataFrame:
     return bm25.weights(b.tf, b.lengths).select("term", "chunk_id", F.round("weight", 6).alias("weight"))
 
 
+@query("index_build", f"WITH {o.DL} SELECT count(*) AS n, sum(doc_len)::BIGINT AS total, (SELECT count(*) FROM tf) AS postings FROM dl")
+def _index_build(b: Base) -> DataFrame:
+    """A saved index of all chunks, made anew, and how large it is."""
+    index = b.new_index()
+    sizes = index.docs.agg(F.count("*").alias("n"), F.sum("doc_len").alias("total"))
+    return sizes.join(index.postings().agg(F.count("*").alias("postings")))  # two single rows
+
+
 _OLD = "o AS (SELECT doc_id, sha1(CASE WHEN doc_id % 7 = 0 THEN text || ' old' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT -1 - doc_id, sha1(text) FROM documents WHERE doc_id % 13 = 0)"
 _DIFF = f"WITH {_OLD}, n AS (SELECT doc_id, sha1(text) AS h FROM documents), x AS (SELECT coalesce(o.doc_id, n.doc_id) AS chunk_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'updated' ELSE 'same' END AS status FROM o FULL JOIN n ON o.doc_id = n.doc_id)"
 
@@ -218,6 +226,7 @@ query("index_diff_counts", f"{_DIFF} SELECT count(*) FILTER (WHERE status = 'add
 # ---------------------------------------------------------------- search
 
 query("bm25_topk", f"WITH {o.LEX} SELECT query_id, chunk_id, bm25_score, bm25_rank FROM lex")(lambda b: b.lexical)
+query("bm25_saved_topk", f"WITH {o.LEX} SELECT query_id, chunk_id, bm25_score, bm25_rank FROM lex")(lambda b: b.index.search(b.query_tokens, b.config.bm25_k))
 query("dense_topk", f"WITH {o.DEN} SELECT query_id, chunk_id, distance, dense_rank FROM den")(lambda b: b.dense)
 query("rrf_fusion", f"WITH {o.FUSED} SELECT * FROM fused")(lambda b: b.fused)
 _WEIGHTED = o.FUSED.replace("sum(1.0::DOUBLE / (60 + pos))", "sum(CASE WHEN retriever = 'bm25' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + pos))")
