@@ -6,6 +6,9 @@ Regular expressions follow Python's rules where Java's differ: ``(?U)`` for Unic
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,21 @@ SEQUENCES = {"ളള": "ള്ള", "ററ": "റ്റ"}
 EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’—–-=_|*©°#~^+/\\"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def where(c: Column, marks: tuple[str, ...], f: Callable[[Column], Column], fold: bool = False) -> Column:
+    """``f`` of texts that have one of ``marks``, without which it would change nothing; looking for a mark is cheap."""
+
+    def guarded(x: Column) -> Column:
+        seen = F.lower(x) if fold else x
+        return F.when(reduce(Column.__or__, [F.contains(seen, F.lit(m)) for m in marks]), f(x)).otherwise(x)
+
+    return let(c, guarded)
+
+
 def replaced(c: Column, pattern: str, by: str = "", flags: str = "Ud") -> Column:
     return F.regexp_replace(c, f"(?{flags})" + pattern, by)
 
@@ -49,12 +67,19 @@ def truncate_query(c: Column, most: int = 2000) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """The form that is indexed and searched, from NFC on. Null gives an empty text."""
+    """The form that is indexed and searched, from NFC on. Null gives an empty text. ASCII texts only change case."""
     digits = "".join(chr(0x0D66 + i) for i in range(10))
-    out = F.translate(nfc(F.coalesce(c, F.lit(""))), digits + AU_SIGN[0] + ZERO_WIDTH, "0123456789" + AU_SIGN[1])
-    for old, new in (CHILLU | SEQUENCES).items():
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return casefold(out)
+
+    def beyond(x: Column) -> Column:
+        out = F.translate(nfc(x), digits + AU_SIGN[0] + ZERO_WIDTH, "0123456789" + AU_SIGN[1])
+        return casefold(let(out, lambda y: F.when(has_malayalam(y), native(y)).otherwise(y)))
+
+    def native(y: Column) -> Column:
+        for old, new in (CHILLU | SEQUENCES).items():
+            y = F.replace(y, F.lit(old), F.lit(new))
+        return y
+
+    return let(F.coalesce(c, F.lit("")), lambda x: F.when(x.rlike("[^\\x00-\\x7F]"), beyond(x)).otherwise(F.lower(x)))
 
 
 def canonical(c: Column) -> Column:
@@ -67,18 +92,12 @@ def tokenizer_version(subword: str = "prefix", prefix_len: int = 5, ngram_n: int
     return f"{TOKENIZER}|{subword}" + {"none": "", "prefix": str(prefix_len), "ngram": str(ngram_n)}[subword]
 
 
-def _quoted(chars: str) -> str:
-    return "".join("\\" + x if not x.isalnum() else x for x in chars)
-
-
 def tokenize(c: Column, subword: str = "prefix", prefix_len: int = 5, ngram_n: int = 4) -> Column:
     """Tokens in order, repeated ones too: identifiers whole and in parts, numbers without leading zeros, words of two
     letters and more, and for Malayalam words a prefix or character n-grams."""
     tokenizer_version(subword)
-    edge = f"[{_quoted(EDGES)}]+"
-    pieces = F.transform(
-        F.split(normalize(c), f"(?U){SPACE}+"), lambda p: F.regexp_replace(F.regexp_replace(p, r"(?U)(?<=\d),(?=\d)", ""), f"^{edge}|{edge}$", "")
-    )
+    digits = lambda p: F.when(F.contains(p, F.lit(",")), F.regexp_replace(p, r"(?U)(?<=\d),(?=\d)", "")).otherwise(p)
+    pieces = F.transform(F.split(normalize(c), f"(?U){SPACE}+"), lambda p: F.btrim(digits(p), F.lit(EDGES)))
     letter = f"[0-9a-z{MALAYALAM}]"
 
     def parts(w: Column) -> Column:
@@ -95,7 +114,7 @@ def tokenize(c: Column, subword: str = "prefix", prefix_len: int = 5, ngram_n: i
         return F.coalesce(plain, more, F.array(w))
 
     def tokens(p: Column) -> Column:
-        whole = F.when(p.rlike(r"(?U)\d") & p.rlike(f"{letter}[/.\\-:]{letter}"), F.array(p)).otherwise(F.array().cast("array<string>"))
+        whole = F.when(p.rlike(f"{letter}[/.\\-:]{letter}") & p.rlike(r"(?U)\d"), F.array(p)).otherwise(F.array().cast("array<string>"))
         words = F.regexp_extract_all(p, F.lit(f"[0-9a-zà-ɏ{MALAYALAM}]+"), F.lit(0))
         return F.concat(whole, F.flatten(F.transform(words, parts)))
 
@@ -117,15 +136,22 @@ def has_malayalam(c: Column) -> Column:
 
 # ---------------------------------------------------------------- cleaning
 
-# What counts as a page label, an address, junk, a heading or needless space.
+# What counts as a page label, an address, junk, a heading or needless space; with each, marks one of which
+# is in any text that it matches.
 PAGE_RULES = (
-    (rf"Page{SPACE}*\d+", "i"), (rf"താൾ{SPACE}*\d+", ""), (rf"പേജ്{SPACE}*\d+", ""),
-    (rf"\bPage{SPACE}+\d+\b", "im"), (rf"\bപേജ്{SPACE}+\d+\b", "im"), (rf"\bതാൾ{SPACE}+\d+\b", "im"),
-    (r"^\d+$", "im"), (r"\[\d+\]", "im"), (r"\(\d+\)", "im"),
+    (rf"Page{SPACE}*\d+", "i", ("page",)), (rf"താൾ{SPACE}*\d+", "", ("താൾ",)), (rf"പേജ്{SPACE}*\d+", "", ("പേജ്",)),
+    (rf"\bPage{SPACE}+\d+\b", "im", ("page",)), (rf"\bപേജ്{SPACE}+\d+\b", "im", ("പേജ്",)), (rf"\bതാൾ{SPACE}+\d+\b", "im", ("താൾ",)),
+    (r"^\d+$", "im", ()), (r"\[\d+\]", "im", ("[",)), (r"\(\d+\)", "im", ("(",)),
 )
 # Rules for whole lines are tied to a line's start, from where they match if they match at all.
-URL_RULES = ((rf"^.*https?://{SOLID}+.*", "m"), (rf"https?://{SOLID}+|www\.{SOLID}+", ""), (rf"^.*email{SPACE}*:{SPACE}*{SOLID}+.*", "im"), (rf"{SOLID}+@{SOLID}+", ""))
-JUNK_RULES = (r"[|_]{2,}", r"[|\\]{2,}", r"_{3,}", r"-{3,}", r"\.{4,}", rf"{SPACE}+[\|\\/]{SPACE}+", r"[•●■◆◦]+")
+URL_RULES = (
+    (rf"^.*https?://{SOLID}+.*", "m", ("http",)), (rf"https?://{SOLID}+|www\.{SOLID}+", "", ("http", "www.")),
+    (rf"^.*email{SPACE}*:{SPACE}*{SOLID}+.*", "im", ("ema",)), (rf"{SOLID}+@{SOLID}+", "", ("@",)),
+)
+JUNK_RULES = (
+    (r"[|_]{2,}", ("||", "|_", "_|", "__")), (r"[|\\]{2,}", ("||", "|\\", "\\|", "\\\\")), (r"_{3,}", ("___",)), (r"-{3,}", ("---",)), (r"\.{4,}", ("....",)),
+    (rf"{SPACE}+[\|\\/]{SPACE}+", ("|", "\\", "/")), (r"[•●■◆◦]+", ("•", "●", "■", "◆", "◦")),
+)
 HEADER_RULES = (rf"^copyright{SPACE}+©", r"^\d{1,2}/\d{1,2}/\d{2,4}\n?$", rf"^chapter{SPACE}+\d+\n?$", rf"^section{SPACE}+\d+\n?$")
 SPACE_RULES = ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"))
 
@@ -134,36 +160,36 @@ def strip(c: Column) -> Column:
     return replaced(c, rf"\A{SPACE}+|{SPACE}+\z")
 
 
+def _without(c: Column, pattern: str, flags: str, marks: tuple[str, ...]) -> Column:
+    if not marks:
+        return replaced(c, pattern, "", "Ud" + flags)
+    return where(c, marks, lambda x: replaced(x, pattern, "", "Ud" + flags), "i" in flags)
+
+
 def remove_page_numbers(c: Column) -> Column:
-    for pattern, flags in PAGE_RULES:
-        c = replaced(c, pattern, "", "Ud" + flags)
+    for pattern, flags, marks in PAGE_RULES:
+        c = _without(c, pattern, flags, marks)
     return c
 
 
 def remove_urls(c: Column) -> Column:
     """Lines with a URL or an address label go as a whole, then what is left of either."""
-    for pattern, flags in URL_RULES:
-        c = replaced(c, pattern, "", "Ud" + flags)
+    for pattern, flags, marks in URL_RULES:
+        c = _without(c, pattern, flags, marks)
     return c
 
 
 def remove_junk(c: Column) -> Column:
-    for pattern in JUNK_RULES:
-        c = replaced(c, pattern)
+    for pattern, marks in JUNK_RULES:
+        c = _without(c, pattern, "", marks)
     return c
 
 
 def remove_headers(c: Column) -> Column:
     """Lines of under three characters go, but for Malayalam, and lines that are only a heading or a date."""
-
-    def stays(line: Column) -> Column:
-        own = strip(line)
-        heading = F.lit(False)
-        for pattern in HEADER_RULES:
-            heading = heading | own.rlike("(?Udi)" + pattern)
-        return F.when(F.length(own) < 3, has_malayalam(own)).otherwise(~heading)
-
-    return F.array_join(F.filter(F.split(c, "\n"), stays), "\n")
+    heading = "(?Udi)" + "|".join(HEADER_RULES)
+    stays = lambda own: F.when(F.length(own) < 3, has_malayalam(own)).otherwise(~own.rlike(heading))
+    return F.array_join(F.filter(F.split(c, "\n"), lambda line: let(strip(line), stays)), "\n")
 
 
 def fix_whitespace(c: Column) -> Column:
