@@ -98,8 +98,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no ids and decodes to an empty one. Repeated rows are each a row of the result. An empty
     table gives an empty one.
     """
-    coded = bpe.encode_documents(docs)
-    same = F.col("decoded") == F.coalesce(F.col("row.text"), F.lit(""))
+    hashed = docs.select("doc_id", "lang", "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha256"), "text")
+    coded = bpe.encode_documents(hashed, keep=["doc_id", "lang", "source", "sha256"], texts=False)
+    same = F.col("decoded_sha256") == F.col("row.sha256")
     return coded.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 
 
