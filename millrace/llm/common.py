@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,13 @@ def stage_table(df: DataFrame, name: str, within: Sequence[DataFrame] = (), spre
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give what Arrow and the C library keep for later back to the system: a worker stays beside the next stage's work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(col: str | Column) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     col = F.col(col) if isinstance(col, str) else col

@@ -20,14 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     Larger neighbours are hung on a node's least neighbour, then smaller ones, until nothing changes; each round is
     written to the shared folder. The number of rounds grows with the logarithm of a component's width.
     """
-    edges = stage_table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    edges = stage_table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc", [edges])
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         # u's links all point down: each, and u itself, to the least of them.
         down = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        turned = stage_table(down.filter("u <> v").distinct(), "cc")
+        turned = stage_table(down.filter("u <> v").distinct(), "cc", [edges, edges])
         if _same(edges, turned):
             return turned.select(F.col("u").alias("node"), F.col("v").alias("component"))
         edges = turned

@@ -17,18 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import respread, stage_table
+from millrace.llm.common import release_memory, respread, stage_table
 from millrace.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 SIZE = BANDS * ROWS
-CHUNK = 256  # members that meet a copy of their leader in one group
+CHUNK = 64  # members that meet a copy of their leader in one group
 BLOCK = 256  # members of a bucket in a block
 MANY = 4096  # members outside a bucket's main class from which registers meet in larger blocks
 WIDE = 2048  # members of such a bucket in a block of registers
-ESTIMATE = 0.55  # least share of equal registers for exact comparing: over five standard errors under 0.8
+ESTIMATE = 0.45  # least share of equal registers for exact comparing; at similarity 0.8 fewer are equal with probability 1e-12
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -149,6 +149,7 @@ def signed(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 bands.append(key.view(np.int64))
                 registers.append(who.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text_key"), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())], schema.names)
+        release_memory()
 
     return picked.mapInArrow(sign, schema).withColumn("uid", F.monotonically_increasing_id())
 
@@ -159,7 +160,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ``texts`` has ``uid, text``. A leader's text is sent once for every ``CHUNK`` of its members, not once a pair.
     """
     sizes = pairs.groupBy("leader").agg(F.count("*").alias("n")).select(F.col("leader").alias("of"), F.ceil(F.col("n") / CHUNK).cast("int").alias("salts"))
-    sizes = stage_table(sizes, "near-sizes")
+    sizes = stage_table(sizes, "near-sizes", [pairs])
     salted = pairs.join(sizes, F.col("leader") == F.col("of")).select("u", "leader", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"))
     members = salted.join(texts, F.col("u") == F.col("uid")).select("leader", "salt", F.col("u").alias("who"), "text")
     leaders = sizes.join(texts, F.col("of") == F.col("uid")).select(F.col("of").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("of").alias("who"), "text")
@@ -212,7 +213,7 @@ def _cross_links(open_: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFr
         return pa.table({"near": np.unique(uid[near])})
 
     held = _blocks(open_, signs.select(F.col("uid").alias("of"), "registers"), WIDE)
-    near = stage_table(held.groupBy("key", "a", "b").applyInArrow(screen, "near long").distinct(), "near-screened")
+    near = stage_table(held.groupBy("key", "a", "b").applyInArrow(screen, "near long").distinct(), "near-screened", [signs], spread=True)
 
     def link(group: pa.Table) -> pa.Table:
         side, uid, own = (group.column(c).to_numpy() for c in ("side", "uid", "class"))
@@ -273,7 +274,7 @@ def _with_class(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """Every row of ``df`` as ``row`` with its ``class_id``: the least key of the texts linked to its own.
+    """Every row of ``df`` as ``row`` with its ``class_id``: the least key of the texts linked to its own; ``first`` marks one row of each class.
 
     Links join texts of similarity 0.8 or more on five-word shingles, and equal texts; a class is a connected
     component. Texts without words (null, empty, blank) are linked to equal texts only. The keys of a class can all
@@ -289,51 +290,53 @@ def near_classes(df: DataFrame, text: str = "text", key: str = "doc_id", keep: l
     rows = stage_table(signed(df, text, carried), "near-signed")
     own = F.col("row")[key]
     # One node for each distinct text.
-    nodes = stage_table(rows.groupBy("text_key").agg(F.min("uid").alias("uid"), F.min(own).alias("least_key")), "near-nodes")
+    best = F.min(F.struct(own.isNull().alias("none"), own.alias("key"), F.col("uid").alias("of")))
+    nodes = stage_table(rows.groupBy("text_key").agg(F.min("uid").alias("uid"), best.alias("best")), "near-nodes", [rows])
     single = rows.filter("bands IS NOT NULL").join(nodes.select("uid"), "uid", "left_semi")
-    signs = stage_table(single.select("uid", "bands", "registers"), "near-signs")
+    signs = stage_table(single.select("uid", "bands", "registers"), "near-signs", [rows])
     members = signs.select("uid", F.explode("bands").alias("key"))
     led = members.groupBy("key").agg(F.count("*").alias("n"), F.min("uid").alias("leader")).filter("n > 1")
-    shared = stage_table(
-        members.join(led.select(respread(F.col("key")).alias("k"), "leader"), F.col("key") == F.col("k")).select("key", "uid", "leader"), "near-shared"
-    )
-    pairs = stage_table(shared.filter("uid <> leader").select(F.col("uid").alias("u"), "leader").distinct(), "near-pairs")
+    shared = members.join(led.select(respread(F.col("key")).alias("k"), "leader"), F.col("key") == F.col("k")).select("key", "uid", "leader")
+    shared = stage_table(shared, "near-shared", [signs, signs])
+    pairs = stage_table(shared.filter("uid <> leader").select(F.col("uid").alias("u"), "leader").distinct(), "near-pairs", [shared])
     needed = shared.select("uid").distinct().join(nodes.select("uid", "text_key"), "uid")
-    needed = needed.join(rows.select("uid", own.alias("row_key")), "uid")
-    plain = df.select(F.col(key).alias("k"), F.md5(F.coalesce(text, F.lit(""))).alias("t"), F.col(text).alias("text"))
-    texts = plain.join(needed, (F.col("t") == F.col("text_key")) & F.col("k").eqNullSafe(F.col("row_key"))).select("uid", "text")
+    # Texts are found again by what they are, once each: a row that is repeated a thousand times gives one.
+    plain = df.select(F.md5(F.coalesce(text, F.lit(""))).alias("t"), F.col(text).alias("text")).groupBy("t").agg(F.first("text").alias("text"))
     # The texts of all candidates, once: rounds below read them again.
-    texts = stage_table(texts, "near-texts")
+    texts = stage_table(plain.join(needed, F.col("t") == F.col("text_key")).select("uid", "text"), "near-texts")
 
     # First only each member's least leader; then the leaders of other classes.
     first = pairs.groupBy("u").agg(F.min("leader").alias("leader"))
-    edges = stage_table(verify(first, texts), "near-edges")
+    edges = stage_table(verify(first, texts), "near-edges", [pairs], spread=True)
     found = components(edges)
     rest = pairs.join(first.select(F.col("u").alias("a"), F.col("leader").alias("b")), (F.col("u") == F.col("a")) & (F.col("leader") == F.col("b")), "left_anti")
-    edges, found = _linked(edges, found, rest, texts)
+    edges, found = _linked(edges, found, rest, texts, pairs)
 
     # Buckets whose members are of several classes.
     held = _with_class(shared.select("key", "uid"), found)
     sizes = held.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most"))
     mixed = sizes.filter(F.col("most.n") < F.col("n")).select(F.col("key").alias("k"), "n", (F.col("n") - F.col("most.n")).alias("outside"), F.col("most.class").alias("main"))
-    open_ = stage_table(held.join(stage_table(mixed, "near-mixed"), F.col("key") == F.col("k")).drop("k"), "near-open")
+    open_ = held.join(stage_table(mixed, "near-mixed", [shared]), F.col("key") == F.col("k")).drop("k")
+    open_ = stage_table(open_, "near-open", [shared, shared])
     edges, found = _joined(edges, found, stage_table(_cross_links(open_, signs, texts), "near-cross"))
     named = _with_class(nodes, found)
-    least = stage_table(named.groupBy("class").agg(F.min("least_key").alias("class_id")).select(F.col("class").alias("c"), "class_id"), "near-least")
-    named = stage_table(named.join(least, F.col("class") == F.col("c")).select(F.col("text_key").alias("t"), "class", "class_id"), "near-named")
+    least = named.groupBy("class").agg(F.min("best").alias("least")).select(F.col("class").alias("c"), F.col("least.key").alias("class_id"), F.col("least.of").alias("one"))
+    least = stage_table(least, "near-least", [nodes])
+    named = named.join(least, F.col("class") == F.col("c")).select(F.col("text_key").alias("t"), "class", "class_id", "one")
+    named = stage_table(named, "near-named", [nodes])
     back = rows.select("row", "text_key", "uid").join(named, F.col("text_key") == F.col("t"))
-    return back.select("row", "class_id", "class", "uid")
+    return back.select("row", "class_id", "class", (F.col("uid") == F.col("one")).alias("first"))
 
 
-def _linked(edges: DataFrame, found: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """More edges from the ``pairs`` that aren't yet in one class, and the classes with them."""
+def _linked(edges: DataFrame, found: DataFrame, rest: DataFrame, texts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """More edges from those ``rest`` of all ``pairs`` that aren't yet in one class, and the classes with them."""
     a = found.select(F.col("node").alias("na"), F.col("component").alias("ca"))
     b = found.select(F.col("node").alias("nb"), F.col("component").alias("cb"))
-    across = pairs.join(a, F.col("u") == F.col("na"), "left").join(b, F.col("leader") == F.col("nb"), "left")
-    across = stage_table(across.filter(F.coalesce("ca", "u") != F.coalesce("cb", "leader")).select("u", "leader"), "near-across")
+    across = rest.join(a, F.col("u") == F.col("na"), "left").join(b, F.col("leader") == F.col("nb"), "left")
+    across = stage_table(across.filter(F.coalesce("ca", "u") != F.coalesce("cb", "leader")).select("u", "leader"), "near-across", [pairs])
     if across.isEmpty():
         return edges, found
-    return _joined(edges, found, stage_table(verify(across, texts), "near-edges"))
+    return _joined(edges, found, stage_table(verify(across, texts), "near-edges", [across], spread=True))
 
 
 def _joined(edges: DataFrame, found: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -345,10 +348,8 @@ def _joined(edges: DataFrame, found: DataFrame, new: DataFrame) -> tuple[DataFra
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each class: that with the class's id as key; of such rows the first written."""
-    found = near_classes(df, text, key)
-    same = F.col(f"row.`{key}`").eqNullSafe(F.col("class_id"))
-    first = stage_table(found.filter(same).groupBy("class").agg(F.min("uid").alias("one")).select("one"), "near-first")
-    return found.join(first, F.col("uid") == F.col("one"), "left_semi").select("row.*").select(*[F.col(f"`{c}`") for c in df.columns])
+    found = near_classes(df, text, key).filter("first")
+    return found.select("row.*").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from millrace.llm.common import respread, stage_table, text_bytes
+from millrace.llm.common import release_memory, respread, stage_table, text_bytes
 from millrace.llm.minhash import mix
 
 LENGTH = 400  # bytes of a repeated string
@@ -368,6 +368,7 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             n = len(packed)
             none = [*[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary())]
             rows.append(pa.Table.from_arrays([*none, pa.array(bucket[cuts]), pa.array(packed, pa.binary())], rows[0].column_names))
+        release_memory()
         return pa.concat_tables(rows)
 
     def match(group: pa.Table) -> pa.Table:
