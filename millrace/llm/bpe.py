@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import stage_table
+from millrace.llm.common import release_memory, stage_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_TOKENS = 6_000_000
+BUCKETS = 64  # of word hashes; a block of many texts has some thousand distinct words in each
+PACKED = 1 << 20  # numbers packed at a time
+RANGE = 2048  # blocks (some 50 GB of text) whose words of one bucket meet in one group
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,23 +82,34 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def pack_ints(values: np.ndarray) -> bytes:
     """32-bit numbers, compressed: one byte for those under 192, else the number's third byte and, apart, the lower two.
 
-    Numbers from 63 << 16 are listed whole as well.
+    Numbers from 63 << 16 are listed whole as well. Numbers are taken by the million, which bounds what is held beside them.
     """
-    values = np.ascontiguousarray(values, np.uint32)
-    high = values >> 16
-    first = np.where(values < 192, values, 192 + np.minimum(high, 63)).astype(np.uint8)
-    rest = values[values >= 192]
-    frames = [zstandard.ZstdCompressor(level=3).compress(x.tobytes()) for x in (first, (rest >> 8).astype(np.uint8), rest.astype(np.uint8), values[high >= 63])]
+    streams: list[list[bytes]] = [[], [], [], []]
+    for at in range(0, len(values), PACKED):
+        part = np.ascontiguousarray(values[at : at + PACKED], np.uint32)
+        high = np.minimum(part >> 16, 63).astype(np.uint8)
+        rest = part[part >= 192]
+        streams[0].append(np.where(part < 192, part.astype(np.uint8), 192 + high).astype(np.uint8).tobytes())
+        streams[1].append((rest >> 8).astype(np.uint8).tobytes())
+        streams[2].append(rest.astype(np.uint8).tobytes())
+        streams[3].append(part[part >= 63 << 16].tobytes())
+    frames = [zstandard.ZstdCompressor(level=3).compress(b"".join(x)) for x in streams]
     return struct.pack("<4I", *map(len, frames)) + b"".join(frames)
 
 
 def unpack_ints(packed: bytes) -> np.ndarray:
     ends = np.cumsum([16, *struct.unpack_from("<4I", packed)]).tolist()
-    raw = [zstandard.ZstdDecompressor().decompress(packed[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-    out, middle, low = (np.frombuffer(x, np.uint8).astype(np.uint32) for x in raw[:3])
-    wide = np.flatnonzero(out >= 192)
-    out[wide] = ((out[wide] - 192) << 16) | (middle << 8) | low
-    out[np.flatnonzero(out >= 63 << 16)] = np.frombuffer(raw[3], np.uint32)
+    raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[a:b]), np.uint8) for a, b in zip(ends, ends[1:], strict=False)]
+    out = np.empty(len(raw[0]), np.uint32)
+    used = 0
+    for at in range(0, len(out), PACKED):
+        part = raw[0][at : at + PACKED].astype(np.uint32)
+        wide = np.flatnonzero(part >= 192)
+        middle, low = (x[used : used + len(wide)].astype(np.uint32) for x in raw[1:3])
+        part[wide] = ((part[wide] - 192) << 16) | (middle << 8) | low
+        out[at : at + PACKED] = part
+        used += len(wide)
+    out[np.flatnonzero(out >= 63 << 16)] = raw[3].view(np.uint32)
     return out
 
 
@@ -150,6 +164,7 @@ def blocks(df: DataFrame, text: str, keep: list[str], pattern: str, block_tokens
                 n = len(packed)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(list(by_bucket), pa.int32()), pa.nulls(n, held.type), pa.array(packed, pa.binary()), pa.array(which, pa.binary())], schema.names)
             count, numbers, rows, texts = count + 1, {}, [], []
+            release_memory()
 
         tokens = 0
         for batch in batches:
@@ -172,8 +187,9 @@ def blocks(df: DataFrame, text: str, keep: list[str], pattern: str, block_tokens
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``block, numbers, lengths, ids`` for ``block, bucket, data, numbers``: the words of a bucket, from all blocks, meet
-    in one group (dealt by the words' hashes, so of even size), where each distinct word is encoded once."""
+    """``block, numbers, lengths, ids`` for ``block, bucket, range, data, numbers``: the words of a bucket, from all blocks
+    of a range, meet in one group (dealt by the words' hashes, so of even size), where each distinct word is encoded
+    once. Ranges bound a group; up to 50 GB of text there is one."""
     shipped = words.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: a fixed size
 
     def encode(group: pa.Table) -> pa.Table:
@@ -186,28 +202,30 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 found.append(known[w])
             lengths.append(pack_ints(np.array([len(f) for f in found])))
             ids.append(pack_ints(np.fromiter(chain.from_iterable(found), np.uint32)))
+        del known
+        release_memory()
         return pa.Table.from_arrays([group.column("block"), group.column("numbers"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], ["block", "numbers", "lengths", "ids"])
 
-    return words.groupBy("bucket").applyInArrow(encode, "block long, numbers binary, lengths binary, ids binary")
+    return words.groupBy("bucket", "range").applyInArrow(encode, "block long, numbers binary, lengths binary, ids binary")
 
 
-def encode_documents(df: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, block_tokens: int = BLOCK_TOKENS, digests: bool = False) -> DataFrame:
+def encode_documents(df: DataFrame, text: str = "text", keep: list[str] | None = None, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, block_tokens: int = BLOCK_TOKENS, digests: bool = False, texts: bool = True) -> DataFrame:
     """Every row of ``df`` as ``row`` with ``ids`` and the text decoded from them, ``decoded``.
 
-    With ``digests``, ``n_tokens, ids_sha256, decoded_sha256`` stand in their place. A null text is empty: no
+    Without ``texts``, ``decoded_sha256`` stands for the text, which spares its way through the last shuffle. With ``digests``, ``n_tokens, ids_sha256, decoded_sha256`` stand in their place. A null text is empty: no
     ids. Repeated rows are encoded as often as they come. ``vocabulary`` is the path of a rank file.
     """
     ranks = load_ranks(vocabulary or public_tokenizers.path(VOCABULARY))
     keep = df.columns if keep is None else keep
-    buckets = 4 * max(8, df.rdd.getNumPartitions())  # follows the input, so a bucket's words don't grow with it
-    cut = stage_table(blocks(df, text, keep, pattern, block_tokens, buckets), "bpe-blocks")
-    words = cut.filter("bucket IS NOT NULL").select("block", "bucket", "data", "numbers")
+    cut = stage_table(blocks(df, text, keep, pattern, block_tokens, BUCKETS), "bpe-blocks")
+    ranges = -(-cut.filter("bucket IS NULL").count() // RANGE) or 1
+    words = cut.filter("bucket IS NOT NULL").select("block", "bucket", F.pmod(F.xxhash64("block"), F.lit(ranges)).alias("range"), "data", "numbers")
     tables = encode_words(words, ranks).select(F.col("block").alias("of_block"), "numbers", "lengths", "ids")
     kept = cut.schema["rows"].dataType.elementType
     if digests:
         out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     else:
-        out = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+        out = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded" if texts else "decoded_sha256", T.StringType())]
     # The token-byte table: one entry per id, a fixed size.
     spelled = df.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
 
@@ -218,28 +236,33 @@ def encode_documents(df: DataFrame, text: str = "text", keep: list[str] | None =
             sizes.append(unpack_ints(b.as_py()))
             ids.append(unpack_ints(c.as_py()))
         numbers, sizes, ids = (np.concatenate([np.zeros(0, np.uint32), *x]) for x in (numbers, sizes, ids))
-        said = [str(i) for i in ids.tolist()]
-        raw = [token[i] for i in ids.tolist()]  # the join with the token-byte table
-        ends = np.cumsum(sizes).tolist()
         n = len(numbers)
-        counts, texts, parts = np.zeros(n, np.int64), np.empty(n, object), np.empty(n, object)
-        counts[numbers] = sizes
-        for number, a, b in zip(numbers.tolist(), [0, *ends], ends, strict=False):
-            texts[number] = " ".join(said[a:b])
+        counts, first, parts, said = np.zeros(n, np.int64), np.zeros(n, np.int64), np.empty(n, object), np.empty(n, object)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        counts[numbers], first[numbers] = sizes, ends - sizes
+        raw = [token[i] for i in ids.tolist()]  # the join with the token-byte table
+        listed = list(map(str, ids.tolist())) if digests else []
+        for number, a, b in zip(numbers.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
             parts[number] = b"".join(raw[a:b])
+            if digests:
+                said[number] = " ".join(listed[a:b])
         columns: list[list] = [[] for _ in out]
         at = unpack_ints(docs.column("data")[0].as_py())
         stops = np.cumsum(unpack_ints(docs.column("numbers")[0].as_py())).tolist()
         for start, stop in zip([0, *stops], stops, strict=False):
             own = at[start:stop]
-            listed, decoded = " ".join(texts[own].tolist()), b"".join(parts[own].tolist())
+            decoded, size = b"".join(parts[own].tolist()), counts[own]
             if digests:
-                made = (int(counts[own].sum()), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                made = (int(size.sum()), hashlib.sha256(" ".join(said[own].tolist()).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
             else:
-                made = (np.array(listed.split(), np.int32), decoded.decode())
+                behind = np.cumsum(size)
+                place = np.repeat(first[own] - behind + size, size) + np.arange(behind[-1] if len(behind) else 0)
+                made = (ids[place].astype(np.int32), decoded.decode() if texts else hashlib.sha256(decoded).hexdigest())
             for column, x in zip(columns, made, strict=True):
                 column.append(x)
         kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
+        del numbers, sizes, ids, parts, said, raw, listed, at
+        release_memory()
         return pa.Table.from_arrays([docs.column("rows").combine_chunks().flatten(), *map(pa.array, columns, kinds)], ["row", *(f.name for f in out)])
 
     docs = cut.filter("bucket IS NULL").select("block", "rows", "data", "numbers")
