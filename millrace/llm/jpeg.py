@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import text_bytes
+from millrace.llm.common import stage_table, text_bytes
 
 UNIT = 576
-INTERVAL = 24  # blocks between restart markers
+INTERVAL = 96  # blocks between restart markers
 NARROW, WIDE = 24, 576  # blocks in a row
 MAX_ROWS = 8191  # of blocks: a JPEG has at most 65,535 lines
 CHUNK = 2 << 20  # payload bytes taken side by side
@@ -37,13 +37,14 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def _header(rows: int, cols: int) -> bytes:
-    """All steps of quantisation are 8, so a DC coefficient is a block's mean less 128; DC codes have 4 bits."""
+    """All steps of quantisation are 8, so a DC coefficient is a block's mean less 128. A DC code has 15 bits less those
+    of its difference, so that with the end of block, one bit, every block has 16."""
     return b"".join([
         b"\xff\xd8",
         _segment(0xE0, b"JFIF\0" + struct.pack(">HBHHBB", 0x0102, 0, 1, 1, 0, 0)),
         _segment(0xDB, bytes([0]) + bytes([8] * 64)),
         _segment(0xC0, struct.pack(">BHHB", 8, rows * 8, cols * 8, 1) + bytes([1, 0x11, 0])),
-        _segment(0xC4, bytes([0x00, 0, 0, 0, 12, *[0] * 12, *range(12)])),
+        _segment(0xC4, bytes([0x00, *[0] * 6, *[1] * 9, 0, *range(8, -1, -1)])),
         _segment(0xC4, bytes([0x10, 1, *[0] * 15, 0])),
         _segment(0xDD, struct.pack(">H", INTERVAL)),
         _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])),
@@ -55,7 +56,8 @@ def _block_codes() -> tuple[np.ndarray, np.ndarray]:
     diff = np.arange(-255, 256)
     size = np.array([int(abs(x)).bit_length() for x in diff])
     extra = np.where(diff >= 0, diff, diff + (1 << size) - 1)
-    return (((size << size) | extra) << 1).astype(np.uint64), (size + 5).astype(np.uint64)
+    code = (1 << (9 - size)) - 2  # the codes of one more bit each, from a single one of seven
+    return (((code << size) | extra) << 1).astype(np.uint64), np.full(len(diff), 16, np.uint64)
 
 
 _CODE, _BITS = _block_codes()
@@ -84,7 +86,7 @@ def encode_frames(payloads: list[bytes]) -> list[bytes]:
         code = (code[:, ::2] << bits[:, 1::2]) | code[:, 1::2]
         bits = bits[:, ::2] + bits[:, 1::2]
     n, groups = code.shape
-    room = 48
+    room = 2 * INTERVAL + 8
     buf = np.zeros(n * room + 8, np.uint8)
     words, at = _unaligned(buf), np.arange(n, dtype=np.uint64) * np.uint64(room * 8)
     start = at.copy()
@@ -385,7 +387,8 @@ def read_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (),
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The media column is written as Parquet and what is returned is read from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_bytes("text").alias("payload"))
-    stored = with_media(docs, "payload", ["doc_id"])
+    stored = stage_table(with_media(docs, "payload", ["doc_id"]), "media", codec="zstd")
     read = read_media(stored, keep=("row", "n_bytes"), digests=True)
     return read.select("row.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
