@@ -1,8 +1,8 @@
 """Operator 5, toxicity by a weighted lexicon.
 
 Texts are folded (lower case, homoglyphs and digit substitutions to plain letters), lexicon entries are found by
-Aho-Corasick, hits inside exception phrases are left out, and the weights of the rest are summed and normalised by
-the text's length. Weights, exceptions and the map from that sum to a score are learned from labelled rows.
+Aho-Corasick, hits inside exception phrases are left out, and the weights of the rest are summed and divided by
+the text's number of words. Weights, exceptions and the map from that sum to a score are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stage_table
 
 SAMPLE_ROWS = 20_000  # labelled rows that the lexicon is learned from, at most
-CANDIDATES = 50_000  # word forms weighed, at most
-LEXICON = 2_000  # entries kept, at most
 MIN_DOCS, MIN_SHARE = 4, 0.01  # toxic documents, and share of them, that an entry must be in
 MIN_WEIGHT = 2.5
 STEMS = range(4, 11)
@@ -102,13 +100,14 @@ class Matcher:
         return found
 
     def density(self, text: str | None) -> float:
-        """Sum of the weights by the logarithm of the number of words; 0 for a text without hits."""
+        """Weight in a hundred words, on a logarithmic scale; 0 for a text without hits."""
         if not text:
             return 0.0
         found = self.hits(fold(text))
         if not found:
             return 0.0
-        return sum(found.values()) / (1.0 + math.log1p(text.count(" ") + text.count("\n") + 1))
+        words = text.count(" ") + text.count("\n") + 1
+        return math.log1p(100.0 * sum(found.values()) / words)
 
     def score(self, text: str | None) -> float:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.model.slope * self.density(text) + self.model.bias))))
@@ -130,16 +129,16 @@ def _counted(sample: DataFrame, toxic: int, among: set[str] | None, pairs: Match
                 for at in pairs.hits(folded):
                     around = _WORD.findall(folded[max(0, at - 40) : at])[-1:], _WORD.findall(folded[at : at + 80])[:2]
                     near |= {" ".join(around[1])} | {" ".join([*around[0], *around[1][:1]])}
-                total.update(p for p in near if " " in p)
+                total.update(p for p in near if " " in p and (among is None or p in among))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["form", "n"])
 
     rows = sample.filter(F.col("toxic") == toxic).select("text").mapInArrow(count, "form string, n long")
     return rows.groupBy("form").agg(F.sum("n").alias("n"))
 
 
-def _collect_top(counted: DataFrame, least: int, most: int) -> dict[str, int]:
-    """The ``most`` most frequent forms of at least ``least`` documents: a bounded result."""
-    return {r.form: r.n for r in counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "form").limit(most).collect()}
+def _collected(counted: DataFrame, least: int) -> dict[str, int]:
+    """Forms of at least ``least`` documents of the sample, whose bound is theirs too."""
+    return {r.form: r.n for r in counted.filter(F.col("n") >= least).collect()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -167,8 +166,8 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Model({}, bias=math.log((n1 + 1e-3) / (n0 + 1e-3)) if n1 or n0 else -60.0)
-    seen = _collect_top(_counted(sample, 1, None), max(MIN_DOCS, math.ceil(MIN_SHARE * n1)), CANDIDATES)
-    clean = _collect_top(_counted(sample, 0, set(seen)), 1, CANDIDATES)
+    seen = _collected(_counted(sample, 1, None), max(MIN_DOCS, math.ceil(MIN_SHARE * n1)))
+    clean = _collected(_counted(sample, 0, set(seen)), 1)
     weight = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((clean.get(f, 0) + 0.5) / (n0 + 1)) for f, k in seen.items()}
     longer: Counter[str] = Counter()  # of a stem: the documents of its most frequent longer stem
     for form, k in seen.items():
@@ -180,10 +179,10 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         shorter = max((terms[stem[:n]] for n in range(STEMS.start, len(form)) if stem[:n] in terms), default=-math.inf)
         if weight[form] > shorter + 0.7:  # else a shorter stem says as much
             terms[form] = weight[form]
-    kept = dict(sorted(terms.items(), key=lambda t: (-t[1] * seen[t[0]], t[0]))[:LEXICON])
+    kept = dict(sorted(terms.items()))
     matcher = Model(kept).matcher()
-    good = _collect_top(_counted(sample, 0, None, matcher), MIN_DOCS, LEXICON)
-    bad = _collect_top(_counted(sample, 1, None, matcher), 1, CANDIDATES)
+    good = _collected(_counted(sample, 0, None, matcher), MIN_DOCS)
+    bad = _collected(_counted(sample, 1, set(good), matcher), 1)
     learned = tuple(sorted(p for p, k in good.items() if (k + 0.5) / (n0 + 1) > (bad.get(p, 0) + 0.5) / (n1 + 1)))
     model = Model(kept, tuple(dict.fromkeys(EXCEPTIONS + learned)))
     densities = _with_density(sample.select("toxic", "text"), model).select("toxic", "density").toPandas()  # at most ``rows`` rows
@@ -222,12 +221,16 @@ def held_out(key: str):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text, toxic`` of at most ``rows`` labelled documents that aren't held out."""
+    """``text, toxic`` of at most ``rows`` labelled documents that aren't held out.
+
+    Of labels for one id the greatest counts, of texts with one id the first by code point. Null ids and labels don't.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
     # At most ``rows`` pairs of numbers: a bound by parameter.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
