@@ -8,7 +8,7 @@ nested, since they share the hash order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import hash60, stage_table
@@ -18,13 +18,14 @@ WEIGHTS = (3, 1, 2)
 BITS, LEVELS = 10, 6  # 60 bits of hash
 
 
+def count_words(text: Column) -> Column:
+    """The number of words of a text, null: 0. Each becomes one letter, so that no array of them is held."""
+    return F.coalesce(F.char_length(F.translate(F.regexp_replace(text, WORD, "x"), " \t\n\x0b\f\r", "")), F.lit(0)).cast("long")
+
+
 def _with_keys(df: DataFrame, text: str, source: str, key: str, keep: list[str]) -> DataFrame:
-    return df.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-        F.col(source).cast("string").alias("source"),
-        F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).alias("size0"),
-        hash60(F.col(key)).alias("h"),
-    ).select("row", "source", F.greatest("size0", F.lit(0)).cast("long").alias("size"), "h")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    return df.select(row.alias("row"), F.col(source).cast("string").alias("source"), count_words(F.col(text)).alias("size"), hash60(F.col(key), F.md5(F.coalesce(text, F.lit("")))).alias("h"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -32,7 +33,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
     Sources rank by code point, null last; weights repeat. Handing the excess round by weight ends where every
     source under its bound gets the same multiple of its weight, which sorting by bound over weight finds at once.
-    The table has one row per source, as have its two windows.
+    The table has one row per source, and its windows run over all of them in one task: made for thousands of sources,
+    not for a source each document.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1).cast("long")
@@ -54,16 +56,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Per source: size, target, whole copies and the hash below which one more copy is taken.
 
-    ``rows`` has ``source, size, h``. Documents of a source whose hashes are equal (repeated keys) are taken together.
+    ``rows`` has ``source, size, h``. Documents of a source whose hashes are equal (repeated rows) are taken together.
     The group of equal hashes in which the budget ends is taken if that brings the sum nearer to the target.
     """
     shift = BITS * (LEVELS - 1)
-    hist = stage_table(_histogram(rows, shift), "mix-hist")
+    hist = stage_table(_histogram(rows, shift), "mix-hist", [rows])
     per_source = hist.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     goal = targets(per_source, weights)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    goal = stage_table(goal.withColumn("before", F.lit(0).cast("long")), "mix-goal")
+    goal = stage_table(goal.withColumn("before", F.lit(0).cast("long")), "mix-goal", [hist])
     found: DataFrame | None = None
     while True:
         inside = Window.partitionBy("source").orderBy("bucket")
@@ -73,6 +75,7 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
         ends = stage_table(
             ends.withColumn("nth", first).filter("nth = 1").select("source", "source_size", "target", "copies", "rest", "bucket", "low", "high", "cum", (F.col("cum") - F.col("size")).alias("before")),
             "mix-ends",
+            [hist],
         )
         # Of one hash: taken if the sum before and after it lie about the target, nearer with it.
         single = ends.filter("low = high").select("source", "source_size", "target", "copies", (F.col("low") + (F.col("before") + F.col("cum") <= 2 * F.col("rest")).cast("long")).alias("threshold"))
@@ -84,7 +87,7 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame
         narrowed = rows.join(boundary, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift) == F.col("b"))).select("source", "size", "h")
         goal = goal.select("source", "source_size", "target", "copies", "rest", "before")
         shift -= BITS
-        hist = stage_table(_histogram(narrowed, shift), "mix-hist")
+        hist = stage_table(_histogram(narrowed, shift), "mix-hist", [rows])
     empty = per_source.filter("source_size = 0").select("source", "source_size", F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("threshold"))
     return stage_table(found.unionByName(empty), "mix-thresholds")
 
@@ -96,16 +99,16 @@ def _histogram(rows: DataFrame, shift: int) -> DataFrame:
 def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Every row of ``df`` as ``row`` with size, source_size, target, ``n_copies`` and ``taken``.
 
-    Null text has size 0; a null source is a source, last in order; null keys share one hash. An empty table gives
-    an empty result.
+    Rows go by a hash of key and text, so that rows of one key, null keys too, part unless they are the same row again.
+    Null text has size 0; a null source is a source, last in order. An empty table gives an empty result.
     """
     keep = df.columns if keep is None else keep
     keyed = _with_keys(df, text, source, key, keep)
     if keep == [key]:
         keyed = stage_table(keyed, "mix-rows")
-        rows = keyed.select("source", "size", "h")
-    else:
-        rows = stage_table(keyed.select("source", "size", "h"), "mix-rows")
+    rows = keyed.select("source", "size", "h")
+    if keep != [key]:
+        rows = stage_table(rows, "mix-rows")
     limits = thresholds(rows, weights).withColumnRenamed("source", "s")
     n_copies = (F.col("copies") + (F.col("h") < F.col("threshold")).cast("long")).alias("n_copies")
     # One row per source: broadcast by Spark if its size allows, else a join that splits hot sources.
@@ -125,7 +128,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][(rank - 1) % 3 + 1]::BIGINT AS w FROM s),
 f AS (SELECT *, row_number() OVER o AS k,
