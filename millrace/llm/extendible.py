@@ -1,14 +1,12 @@
 """Operator 2, sharding by extendible hashing.
 
 Rows go by the leading bits of their key's hash. The directory starts with one bucket of no bits; only a bucket over
-the byte limit is split on one more bit, until every shard fits. Byte counts of eight bits at a time are summed, for
-the rows of oversized buckets alone, so the directory of local depths is found in a few passes over narrow rows.
+the byte limit is split on one more bit, until every shard fits. Byte counts of ten bits at a time are summed, for
+the rows of oversized buckets alone, so the directory of local depths is found in a few passes over hashes and sizes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +41,20 @@ def shard(df: DataFrame, key: str, size: str, keep: list[str] | None = None, lim
     """
     keep = df.columns if keep is None else keep
     picked = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), hash60(F.col(key)).alias("h"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n_bytes"))
-    open_ = stage_table(picked, "shard-rows")
-    done: list[DataFrame] = []
+    rows = stage_table(picked, "shard-rows")
+    narrow = rows.select("h", "n_bytes")
+    open_, depths = narrow, []
     for depth in range(0, BITS, STRIDE):
-        leaves = stage_table(_directory(open_.select("h", "n_bytes"), depth, limit), "shard-leaves")
-        found = open_.join(leaves, F.shiftright("h", BITS - depth - STRIDE) == F.col("leaf")).drop("leaf")
-        done.append(found.filter("depth IS NOT NULL"))
-        if leaves.filter("depth IS NULL").isEmpty():
+        leaves = stage_table(_directory(open_, depth, limit), "shard-leaves", [narrow])
+        leaf, below = F.col("leaf"), F.shiftright("h", BITS - depth - STRIDE)
+        depths.append(F.col(f"depth{depth}"))
+        # Only leaves that end here: where all split further, as the first do in a large table, there are none.
+        rows = rows.join(leaves.filter("depth IS NOT NULL").select(leaf.alias(f"leaf{depth}"), F.col("depth").alias(f"depth{depth}")), below == F.col(f"leaf{depth}"), "left")
+        split = leaves.filter("depth IS NULL").select("leaf")
+        if split.isEmpty():
             break
-        open_ = stage_table(found.filter("depth IS NULL").drop("depth"), "shard-rows")
-    out = stage_table(reduce(DataFrame.unionByName, done), "shard-found")
+        open_ = narrow.join(split, below == leaf, "left_semi")
+    out = stage_table(rows.select("row", "h", "n_bytes", F.coalesce(*depths).alias("depth")), "shard-found")
     bits = F.lpad(F.conv(F.shiftright("h", BITS - 30).cast("string"), 10, 2), 30, "0"), F.lpad(F.conv(F.col("h").bitwiseAND((1 << 30) - 1).cast("string"), 10, 2), 30, "0")
     out = out.withColumn("shard", F.substring(F.concat(*bits), F.lit(1), F.col("depth")))
     return _paged(out, limit).select("row", "n_bytes", "shard", "depth", "page")
