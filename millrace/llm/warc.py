@@ -30,6 +30,7 @@ VERSION = b"WARC/1.1"
 ARCHIVE_BYTES = 32 << 20
 DICT_BYTES = 32 << 10
 DICT_SAMPLE = 2 << 20
+PIECE = 64 << 10  # of a long record
 WRITTEN = "path string, records long, raw_bytes long, stored_bytes long"
 READ = "record_id string, target_uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
@@ -60,13 +61,19 @@ def record(record_id: str, uri: str | None, payload: bytes, refers_to: str | Non
     return VERSION + b"\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _piece(record: bytes, k: int) -> bytes:
+    """The record, or of a long one 64 KiB from a place that moves on with ``k``, so that all parts of records are learned."""
+    return record[(at := k * 0x9E3779B1 % max(1, len(record) - PIECE)) : at + PIECE] if len(record) > PIECE else record
+
+
 def build_dictionary(records: list[bytes], size: int = DICT_BYTES, sample: int = DICT_SAMPLE) -> bytes:
-    """A dictionary from an archive's records: evenly spaced ones until ``sample`` bytes, which bounds the training.
+    """A dictionary from an archive's records: evenly spaced ones until ``sample`` bytes, which bounds the training, of
+    those over 64 KiB a piece of that size.
 
     Where training finds too little to go by, the sample's last bytes serve as a raw dictionary.
     """
     step = max(1, sum(map(len, records)) // sample)
-    chosen = [r[: 64 << 10] for r in records[::step]]
+    chosen = [_piece(r, k) for k, r in enumerate(records[::step])]
     try:
         return zstandard.train_dictionary(size, chosen, k=256, d=8, f=18, accel=4, split_point=1.0, level=3).as_bytes()
     except zstandard.ZstdError:
@@ -105,7 +112,8 @@ def unpack(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def plan_revisits(df: DataFrame, key: str, payload: str, min_bytes: int) -> DataFrame:
     """``df`` with ``digest`` and ``first_id``: the smallest key of the records with that payload, if not this one's.
 
-    Only digests travel. Payloads under ``min_bytes`` never refer. Null keys come last; where all keys of a group
+    Digests travel to be counted, first records come back. Where they are too many to be broadcast by Spark's size check
+    the rows are dealt out by digest, payloads with them. Payloads under ``min_bytes`` never refer. Null keys come last; where all keys of a group
     are null, or a key is repeated in it, the rows with the smallest key are all responses.
     """
     hashed = df.withColumn("digest", F.sha1(payload))
@@ -118,6 +126,12 @@ def plan_revisits(df: DataFrame, key: str, payload: str, min_bytes: int) -> Data
     return joined.withColumn("first_id", F.when(later & (F.octet_length(payload) >= min_bytes), F.col("first_id")))
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a URI that Spark knows; s3a and s3n are Arrow's s3. What Arrow has none for raises."""
+    scheme, colon, rest = uri.partition(":")
+    return pafs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + colon + rest)
+
+
 def write_archives(df: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write ``record_id, uri, payload, refers_to`` rows as archives under ``path``; one row per archive written.
 
@@ -126,7 +140,7 @@ def write_archives(df: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES,
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = file_system(path)
         context, made = TaskContext.get(), []
 
         def flush(records: list[bytes]) -> None:
