@@ -57,12 +57,13 @@ def with_metrics(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(scored: DataFrame, host: str, failed: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(scored: DataFrame, host: str, failed: str, max_rate: float = MAX_HOST_RATE, relative: bool = False) -> DataFrame:
     """One row per host: documents, failures, shrunk failure rate and ``host_rejected``.
 
     The prior Beta(a, b) is fitted by moments over all hosts, weighted by their documents: its mean is the overall
     failure rate and its strength follows from the variance between hosts beyond sampling noise (held within 1 and
-    a million documents). A null host is a host of its own.
+    a million documents). A null host is a host of its own. ``max_rate`` is a rate, or, if ``relative``, a multiple of the
+    overall one.
     """
     hosts = scored.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("f"))
     moments = hosts.agg(
@@ -76,17 +77,17 @@ def host_verdicts(scored: DataFrame, host: str, failed: str, max_rate: float = M
     prior = moments.select(m.alias("m"), strength.alias("s"))
     rate = (F.col("f") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
     # prior is a single row, the result of a global aggregate.
-    return hosts.join(F.broadcast(prior)).select("host", "n", "f", rate.alias("host_rate"), (rate > max_rate).alias("host_rejected"))
+    return hosts.join(F.broadcast(prior)).select("host", "n", "f", rate.alias("host_rate"), (rate > max_rate * (F.col("m") if relative else 1)).alias("host_rejected"))
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, max_rate: float = MAX_HOST_RATE, relative: bool = False) -> DataFrame:
     """Every row of ``df`` as ``row``, its metrics, host figures and ``kept``.
 
     The scored rows are written once to the shared folder, so that the rules run once and not again for the hosts.
     """
     keep = df.columns if keep is None else keep
     scored = stage_table(with_metrics(df, text, [*dict.fromkeys([*keep, host])]), "quality")
-    hosts = stage_table(host_verdicts(scored.select(F.col("row")[host].alias("h"), "base_failed"), "h", "base_failed", max_rate), "hosts")
+    hosts = stage_table(host_verdicts(scored.select(F.col("row")[host].alias("h"), "base_failed"), "h", "base_failed", max_rate, relative), "hosts")
     hosts = hosts.select("host", "host_rate", "host_rejected")
     out = scored.join(hosts, F.col("row")[host].eqNullSafe(F.col("host")), "left")
     return out.select("row", *METRICS, "host", "host_rate", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
@@ -102,6 +103,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(docs, keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), *METRICS, "kept")
 
 
+PAGE_HOST = "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
+
+
+def page_query(spark, sf_dir: str) -> DataFrame:
+    """The hosts of ``pages``, by their URLs: those that fail more often than pages do overall are rejected with all their pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", F.regexp_extract("url", PAGE_HOST, 1).alias("source"))
+    judged = judge(pages, text="html", keep=["page_id"], max_rate=1.0, relative=True)
+    return judged.select("row.page_id", "host", F.round("host_rate", 9).alias("host_rate"), "base_failed", "kept")
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -125,3 +136,9 @@ bad AS (SELECT source, (f + m * s) / (n + s) > 0.5 AS r FROM h, pr)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad.r AS kept
 FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source
 """
+
+PAGE_SQL = (
+    SQL.replace("SELECT doc_id, source, coalesce(text, '') AS text FROM documents", f"SELECT page_id AS doc_id, regexp_extract(url, '{PAGE_HOST}', 1) AS source, coalesce(html, '') AS text FROM pages")
+    .replace("(f + m * s) / (n + s) > 0.5 AS r", f"round((f + m * s) / (n + s), 9) AS host_rate, (f + m * s) / (n + s) > m AS r")
+    .replace("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT", "SELECT doc_id AS page_id, f.source AS host, bad.host_rate, base_failed, NOT")
+)

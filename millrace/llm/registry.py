@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_distinct_words": bpe.query,
     "op9_quality_host_rules": quality_hosts.query,
     "op10_preference_pairs": preference.query,
+    "host_verdicts_of_pages": quality_hosts.page_query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_mix_hash_histograms": mixing.SQL,
     "op9_quality_host_rules": quality_hosts.SQL,
     "op10_preference_pairs": preference.SQL,
+    "host_verdicts_of_pages": quality_hosts.PAGE_SQL,
 }
