@@ -30,10 +30,11 @@ from pyspark.sql import types as T
 from millrace.llm.common import release_memory, stage_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 8_000_000
+LEVEL = 8  # of compression
 BUCKETS = 64  # of word hashes; a block of many texts has some thousand distinct words in each
 PACKED = 1 << 20  # numbers packed at a time
-RANGE = 2048  # blocks (some 50 GB of text) whose words of one bucket meet in one group
+RANGE = 2048  # blocks (some 60 GB of text) whose words of one bucket meet in one group
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,7 +94,7 @@ def pack_ints(values: np.ndarray) -> bytes:
         streams[1].append((rest >> 8).astype(np.uint8).tobytes())
         streams[2].append(rest.astype(np.uint8).tobytes())
         streams[3].append(part[part >= 63 << 16].tobytes())
-    frames = [zstandard.ZstdCompressor(level=3).compress(b"".join(x)) for x in streams]
+    frames = [zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(x)) for x in streams]
     return struct.pack("<4I", *map(len, frames)) + b"".join(frames)
 
 
@@ -116,7 +117,7 @@ def unpack_ints(packed: bytes) -> np.ndarray:
 def _pack_words(words: list[str]) -> bytes:
     raw = [w.encode() for w in words]
     sizes = pack_ints(np.array([len(w) for w in raw]))
-    return struct.pack("<I", len(sizes)) + sizes + zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+    return struct.pack("<I", len(sizes)) + sizes + zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(raw))
 
 
 def _unpack_words(packed: bytes) -> list[bytes]:
@@ -189,7 +190,7 @@ def blocks(df: DataFrame, text: str, keep: list[str], pattern: str, block_tokens
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``block, numbers, lengths, ids`` for ``block, bucket, range, data, numbers``: the words of a bucket, from all blocks
     of a range, meet in one group (dealt by the words' hashes, so of even size), where each distinct word is encoded
-    once. Ranges bound a group; up to 50 GB of text there is one."""
+    once. Ranges bound a group; up to 60 GB of text there is one."""
     shipped = words.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: a fixed size
 
     def encode(group: pa.Table) -> pa.Table:
