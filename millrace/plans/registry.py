@@ -200,8 +200,8 @@ def _weights(b: Base) -> DataFrame:
 
 @query("index_build", f"WITH {o.DL} SELECT count(*) AS n, sum(doc_len)::BIGINT AS total, (SELECT count(*) FROM tf) AS postings FROM dl")
 def _index_build(b: Base) -> DataFrame:
-    """A saved index of all chunks, made anew, and how large it is."""
-    index = b.new_index()
+    """A saved index of all chunks, made anew, and how large it is; searches of the folder use it from then on."""
+    b.index = index = b.new_index()
     sizes = index.docs.agg(F.count("*").alias("n"), F.sum("doc_len").alias("total"))
     return sizes.join(index.postings().agg(F.count("*").alias("postings")))  # two single rows
 
