@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import strip
 from millrace.operators.ordering import running_sum
 
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 SIZE, OVERLAP, MIN_CHARS = 1000, 200, 200
+HELD = 2_000_000  # characters of chunks that a task gathers before it hands them on
 
 
 class ChunkLimitExceeded(RuntimeError):
@@ -45,7 +48,7 @@ def _pieces(text: str, separator: str) -> list[str]:
     return [p for p in [head, *(separator + r for r in rest)] if p]
 
 
-def _pack(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
+def _pack(pieces: Iterable[str], size: int, overlap: int) -> Iterator[str]:
     """Greedy windows of pieces up to ``size``, each beginning with at most ``overlap`` of the one before."""
     held: list[str] = []
     total = 0
@@ -78,31 +81,93 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
     return [c for c in out if c]
 
 
-def split(c: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Splitting keeps a window of pieces, which no column function can; so it runs in Python, by Arrow batches."""
+def split_pages(pages: Iterable[str], size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> Iterator[str]:
+    """``split_text`` of pages joined by the first separator, of which no more than a page and a window is held.
 
-    @F.pandas_udf("array<string>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: split_text(t or "", size, overlap))
-
-    return run(c)
-
-
-def _chunked(rows: DataFrame, size: int, overlap: int) -> DataFrame:
-    return rows.select("*", F.posexplode(split(F.col("text"), size, overlap)).alias("pos", "chunk"))
+    Cuts that are found in the beginning of a text stay where they are when more follows, so all pieces but the last are
+    known with each page.
+    """
+    pages = iter(pages)
+    first, second = next(pages, None), next(pages, None)
+    if second is None:
+        yield from split_text(first or "", size, overlap, separators)
+        return
+    separator, finer = separators[0], separators[1:]
+
+    def pieces() -> Iterator[str]:
+        lead, rest = "", first
+        for page in chain([second], pages):
+            *whole, rest = (rest + separator + page).split(separator)
+            for piece in whole:
+                yield lead + piece
+                lead = separator
+        yield lead + rest
+
+    for short, run in groupby((p for p in pieces() if p), lambda p: len(p) < size):
+        chunks = _pack(run, size, overlap) if short else chain.from_iterable(split_text(p, size, overlap, finer) for p in run)
+        yield from (c for c in chunks if c)
+
+
+def _chunked(rows: DataFrame, size: int, overlap: int, by: str | None = None) -> DataFrame:
+    """``rows`` with ``source_char_count, pos, chunk`` in place of ``text``: a row's own or, in partitions sorted so, those of
+    all rows of one ``by`` that follow each other.
+
+    Splitting keeps a window of pieces, which no column function can; so it runs in Python, and hands chunks on in small
+    batches.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in ("text", *(["page"] if by else []))]
+    schema = T.StructType([*kept, *T._parse_datatype_string("source_char_count long, pos int, chunk string").fields])
+    names, own = schema.names, [f.name for f in kept]
+    most = HELD
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            columns = [batch.column(c) for c in own]
+            for i, text in enumerate(batch.column("text")):
+                yield tuple(c[i] for c in columns), text.as_py() or ""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
+        kinds: list[pa.DataType] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            plain = [pa.array([v.as_py() for v in c], t) for c, t in zip(columns, kinds, strict=False)]
+            return pa.RecordBatch.from_arrays([*plain, pa.array(columns[-3], pa.int64()), pa.array(columns[-2], pa.int32()), pa.array(columns[-1], pa.string())], names)
+
+        rows = texts(batches)
+        groups = ((key, (t for _, t in part)) for key, part in groupby(rows, lambda r: r[0])) if by else ((key, [t]) for key, t in rows)
+        for key, part in groups:
+            kinds = kinds or [v.type for v in key]
+            count = None if by else len(part[0])
+            chunks = split_pages(part, size, overlap) if by else split_text(part[0], size, overlap)
+            for pos, chunk in enumerate(chunks):
+                out.append((*key, count, pos, chunk))
+                held += len(chunk)
+                if held > most:
+                    yield batch()
+                    out, held = [], 0
+        if out:
+            yield batch()
+
+    return rows.mapInArrow(split, schema)
 
 
 def chunk_pages(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = MIN_CHARS) -> DataFrame:
     """``source, block, page, text`` to chunks; those shorter than ``least`` go and the rest are numbered by source."""
     kept = _chunked(blocks.filter(strip(F.col("text")) != ""), size, overlap).filter(F.length(strip(F.col("chunk"))) >= least)
     numbered = running_sum(kept, ["source"], ["block", "pos"], F.lit(1), "number")
-    return numbered.select("source", "block", "page", (F.col("number") - 1).alias("chunk_no"), F.col("chunk").alias("text"), F.lit("unknown").alias("method"), F.length("chunk").cast("long").alias("char_count"), F.length("text").cast("long").alias("source_char_count"))
+    return numbered.select("source", "block", "page", (F.col("number") - 1).alias("chunk_no"), F.col("chunk").alias("text"), F.lit("unknown").alias("method"), F.length("chunk").cast("long").alias("char_count"), "source_char_count")
 
 
 def chunk_document(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = MIN_CHARS) -> DataFrame:
-    """A source's pages joined by blank lines and split as one; numbers keep the gaps of dropped chunks."""
-    kept = _chunked(document(pages), size, overlap).filter(F.length(strip(F.col("chunk"))) >= least)
+    """A source's pages joined by blank lines and split as one; numbers keep the gaps of dropped chunks.
+
+    A source is one text, so one task reads its pages in order; it holds a page and a window of them at a time.
+    """
+    rows = pages.filter("text <> ''").select("source", "page", "text")
+    kept = _chunked(rows.repartition("source").sortWithinPartitions("source", "page", "text"), size, overlap, "source").filter(F.length(strip(F.col("chunk"))) >= least)
     return kept.select("source", F.lit(-1).alias("page"), F.col("pos").cast("long").alias("chunk_no"), F.col("chunk").alias("text"), F.lit("combined").alias("method"))
 
 
